@@ -37,9 +37,10 @@ def _anchored_mentions(docs: DataFrame, doc_id: str, text: str, terms: DataFrame
     A term's anchor is that one of its pieces which the fewest terms have, so terms with a
     common start do not pile up on one key. A text that holds the term holds its anchor.
     """
-    def pieces(s: Column, size: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(s) - size + 1)
-        return F.array_distinct(F.transform(starts, lambda i: F.substring(s, i, size)))
+    def pieces(s: Column, size: Column | int) -> Column:
+        # A look-ahead finds overlapping pieces in one pass over the text.
+        pattern = F.concat(F.lit("(?s)(?=(.{"), F.lit(size).cast("string"), F.lit("}))"))
+        return F.array_distinct(F.regexp_extract_all(s, pattern, F.lit(1)))
 
     size = F.least(F.length("term"), F.lit(ANCHOR))
     grams = terms.select("term_id", "term", F.explode(pieces(F.col("term"), size)).alias("gram"))
@@ -50,7 +51,7 @@ def _anchored_mentions(docs: DataFrame, doc_id: str, text: str, terms: DataFrame
     texts = docs.select(doc_id, F.lower(F.col(text)).alias("_text"))
     found = [
         texts.where(F.length("_text") >= k)
-        .select(doc_id, F.explode(pieces(F.col("_text"), F.lit(k))).alias("gram"))
+        .select(doc_id, F.explode(pieces(F.col("_text"), k)).alias("gram"))
         .join(anchors.where(F.length("gram") == k), "gram")
         .select(doc_id, "term_id", "term")
         for k in sizes

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusprov.plans.inputs import with_ctes
+from corpusprov.sources.rules import all_rules
 
 _CARDS = """
     SELECT id, downloads, split_part(id, '/', -1) AS name, false AS readme_collected
@@ -55,6 +56,15 @@ def _thresholds() -> str:
         for t in (10, 100, 500, 1000, 10000, 100000))
 
 
+def _rule_values() -> str:
+    """The rules' output names and suffixes as literal rows."""
+    rows = []
+    for r in all_rules():
+        variant = "" if r.variant == "default" else f"_{r.variant}"
+        rows.append(f"('{r.dataset.split('/')[-1]}_urls{variant}', '{r.suffix}')")
+    return ", ".join(rows)
+
+
 def _metrics(model: str, column: str) -> str:
     return f"""
     SELECT '{model}' AS model, round((tp + tn)::DOUBLE / (tp + tn + fp + fn), 9) AS accuracy,
@@ -300,6 +310,12 @@ def oracle_sql() -> dict[str, str]:
         "manifest_filter": w(["manifest"], """
             SELECT * FROM manifest WHERE (path LIKE 'data/c4/%' OR path LIKE 'data/cc\\_news/%'
                    ESCAPE '\\') AND path LIKE '%.json.gz' AND path NOT LIKE '%/src1/%'"""),
+        "manifest_by_rule": w(["manifest"], f"""
+            SELECT output, suffix, n_files, bytes
+            FROM (VALUES {_rule_values()}) rules(output, suffix)
+            JOIN (SELECT regexp_extract(path, '(\\.[a-z.]+)$', 1) AS suffix,
+                         count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes
+                  FROM manifest GROUP BY 1) USING (suffix)"""),
         "manifest_grep": w(["manifest"], """
             SELECT dataset_name, path, split_part(path, '/', -1) AS file_name FROM manifest
             WHERE regexp_matches(path, '/c4|/cc_|/falcon-refinedweb')"""),

@@ -600,6 +600,6 @@ def stratified_sample(spark, sf):
 def streamed_domain_counts(spark, sf):
     """Pages taken in by the file stream, counted batch by batch, then added up."""
     folder = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
-    ingest_counts(spark, f"{sf}/pages.parquet", f"{folder}/counts", f"{folder}/checkpoint",
+    ingest_counts(spark, f"{sf}/page[s].parquet", f"{folder}/counts", f"{folder}/checkpoint",
                   fx.table(spark, sf, "pages").schema, "pages")
     return running_counts(spark, f"{folder}/counts")
