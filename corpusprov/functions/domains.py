@@ -2,8 +2,8 @@
 
 The registered domain is the label in front of the longest matching public suffix.
 Suffix rules are grouped by their number of labels and looked up with ``IN``, which Spark
-turns into a hash-set probe, so a URL is parsed inside whole-stage codegen: no shuffle, no
-join and no Python, whether the rule list has a hundred entries or the full ten thousand.
+turns into a hash-set probe, so a URL is parsed in one projection: no shuffle, no join and
+no Python, whether the rule list has a hundred entries or the full ten thousand.
 """
 
 from __future__ import annotations
@@ -138,13 +138,16 @@ def _in(value: str, names: list[str]) -> str:
     return f"{value} IN ({', '.join(repr(n) for n in names)})"
 
 
-def _suffix_branches(host: str, rules: SuffixRules, fold: bool) -> list[tuple[str, int]]:
+def _tail(n: int) -> str:
+    return f"substring_index(h, '.', -{n})"
+
+
+def _suffix_branches(rules: SuffixRules, fold: bool) -> list[tuple[str, int]]:
     """(condition, labels in the suffix), in order of precedence."""
     plain, wild, exc = (rules.by_depth(k) for k in ("plain", "wildcard", "exception"))
 
     def tail(n: int) -> str:
-        text = f"substring_index({host}, '.', -{n})"
-        return f"lower({text})" if fold else text
+        return f"lower({_tail(n)})" if fold else _tail(n)
 
     branches = [(_in(tail(n), exc[n]), n - 1) for n in sorted(exc, reverse=True)]
     deepest = max([*plain, *(n + 1 for n in wild), 0])
@@ -165,32 +168,32 @@ def domain_sql(host: str, rules: SuffixRules | None = None, strict_parity: bool
     By default an IP address, a single label, and a host that is itself a suffix give NULL.
     ``strict_parity`` instead joins the two parts with a dot whatever they are, so that
     ``localhost`` gives ``localhost.`` and a missing host gives ``.``; letter case is kept.
+
+    The host is bound to a lambda variable, so its expression appears once: a filter on the
+    domain that the optimizer moves below the projection does not multiply the URL parsing.
     """
     rules = rules or SuffixRules.common()
-
-    def tail(n: int) -> str:
-        return f"substring_index({host}, '.', -{n})"
-
-    is_ip = rf"({host} LIKE '[%]' OR {host} RLIKE '{_IPV4}')"
+    is_ip = (
+        "(startswith(h, '[') OR "
+        f"(right(h, 1) BETWEEN '0' AND '9' AND h RLIKE '{_IPV4}'))"
+    )
     cases = []
     if strict_parity:
-        cases.append(f"WHEN {host} IS NULL THEN '.' WHEN {is_ip} THEN {host} || '.'")
-        for cond, n in _suffix_branches(host, rules, fold=True):
+        cases.append(f"WHEN h IS NULL THEN '.' WHEN {is_ip} THEN h || '.'")
+        for cond, n in _suffix_branches(rules, fold=True):
             cases.append(
-                f"WHEN {cond} THEN if({tail(n + 1)} = {tail(n)}, '.' || {host}, {tail(n + 1)})"
+                f"WHEN {cond} THEN if({_tail(n + 1)} = {_tail(n)}, '.' || h, {_tail(n + 1)})"
             )
-        last = f"{tail(1)} || '.'"
+        last = f"{_tail(1)} || '.'"
         if rules.default_rule:
-            last = f"if({tail(2)} = {tail(1)}, {last}, {tail(2)})"
+            last = f"if({_tail(2)} = {_tail(1)}, {last}, {_tail(2)})"
         cases.append(f"ELSE {last}")
     else:
         cases.append(f"WHEN {is_ip} THEN NULL")
-        for cond, n in _suffix_branches(host, rules, fold=False):
-            cases.append(f"WHEN {cond} THEN nullif({tail(n + 1)}, {tail(n)})")
-        cases.append(
-            f"ELSE nullif({tail(2)}, {tail(1)})" if rules.default_rule else "ELSE NULL"
-        )
-    return f"CASE {' '.join(cases)} END"
+        for cond, n in _suffix_branches(rules, fold=False):
+            cases.append(f"WHEN {cond} THEN nullif({_tail(n + 1)}, {_tail(n)})")
+        cases.append(f"ELSE nullif({_tail(2)}, {_tail(1)})" if rules.default_rule else "ELSE NULL")
+    return f"transform(array({host}), h -> CASE {' '.join(cases)} END)[0]"
 
 
 def with_domain(

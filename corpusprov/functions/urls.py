@@ -43,12 +43,18 @@ def path_facets(df: DataFrame, url: str = "url", year_at: int = 3, section_at: i
 
     If either part is missing, or the year is no integer, both are NULL.
     """
-    parts = F.split(F.col(url), "/")
-    year = F.get(parts, F.lit(year_at)).try_cast("bigint")
-    section = F.get(parts, F.lit(section_at))
-    ok = F.col("_year").isNotNull() & F.col("_section").isNotNull()
+    def facets(parts: Column) -> Column:
+        year = F.get(parts, F.lit(year_at)).try_cast("bigint")
+        section = F.get(parts, F.lit(section_at))
+        return F.when(
+            year.isNotNull() & section.isNotNull(),
+            F.struct(year.alias("year"), section.alias("section")),
+        )
+
+    # A lambda binds the parts, so the URL is split once however often they are used.
+    bound = F.get(F.transform(F.array(F.split(F.col(url), "/")), facets), F.lit(0))
     return (
-        df.withColumns({"_year": year, "_section": section})
-        .withColumns({"year": F.when(ok, F.col("_year")), "section": F.when(ok, F.col("_section"))})
-        .drop("_year", "_section")
+        df.withColumn("_facets", bound)
+        .withColumns({"year": F.col("_facets.year"), "section": F.col("_facets.section")})
+        .drop("_facets")
     )

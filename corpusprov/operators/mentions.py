@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 # Fixed value: spellings that count as a mention of the crawl.
 CRAWL_SPELLINGS = r"cc-main|common crawl|commoncrawl"
+MAX_TERMS = 100_000
+MAX_TERM_CHARS = 10_000_000
 MAX_INLINE_TERMS = 1000
 ANCHOR = 8
 
@@ -31,6 +42,41 @@ def _inline_mentions(docs: DataFrame, doc_id: str, text: str, terms: list) -> Da
                           .alias("term_id")).distinct()
 
 
+@lru_cache(maxsize=2)
+def _automaton(shared):
+    """Matcher of all terms, built once per Python worker."""
+    ids = defaultdict(list)
+    for term_id, term in shared.value:
+        ids[term].append(term_id)
+    matcher = ahocorasick.Automaton()
+    for term, found in ids.items():
+        matcher.add_word(term, found)
+    matcher.make_automaton()
+    return matcher
+
+
+def _scanned_mentions(docs: DataFrame, doc_id: str, text: str, terms: list,
+                      id_type: str) -> DataFrame:
+    """Scan every text once for all terms; its cost does not depend on their number."""
+    shared = docs.sparkSession.sparkContext.broadcast([(t.term_id, t.term) for t in terms])
+    lowered = docs.where(F.col(text).isNotNull()).select(
+        F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
+
+    def scan(frames):
+        matcher = _automaton(shared)
+        for frame in frames:
+            docs_out, terms_out = [], []
+            for one, body in zip(frame["doc_id"], frame["text"]):
+                found = {t for _, hits in matcher.iter(body) for t in hits}
+                docs_out.extend([one] * len(found))
+                terms_out.extend(found)
+            yield pd.DataFrame({"doc_id": docs_out, "term_id": terms_out})
+
+    doc_type = docs.schema[doc_id].dataType.simpleString()
+    found = lowered.mapInPandas(scan, f"doc_id {doc_type}, term_id {id_type}")
+    return found.withColumnRenamed("doc_id", doc_id)
+
+
 def _anchored_mentions(docs: DataFrame, doc_id: str, text: str, terms: DataFrame) -> DataFrame:
     """Find candidates by an equi-join on short pieces of text, then check them whole.
 
@@ -66,28 +112,36 @@ def _anchored_mentions(docs: DataFrame, doc_id: str, text: str, terms: DataFrame
 
 
 def find_mentions(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, term_id: str,
-                  term: str, max_inline: int = MAX_INLINE_TERMS) -> DataFrame:
+                  term: str, max_terms: int = MAX_TERMS) -> DataFrame:
     """(doc_id, term_id) for every term that a text contains, ignoring case.
 
-    Up to ``max_inline`` terms are put into the plan; more go through an equi-join, which
-    needs ``doc_id`` to be unique. Both are exact.
+    ``doc_id`` must be unique. Terms go to the tasks while there are at most ``max_terms``
+    and they are short enough together; more of them are matched by a join. All ways are
+    exact.
     """
     folded = _terms(terms, term_id, term)
-    some = folded.limit(max_inline + 1).collect()
-    if not some:
+    id_type = terms.schema[term_id].dataType.simpleString()
+    size = folded.limit(max_terms + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars"))
+    n, chars = size.first()
+    if n == 0:
         return docs.select(doc_id).join(folded.select("term_id"), F.lit(False))
-    if len(some) <= max_inline:
-        return _inline_mentions(docs, doc_id, text, some)
+    if n > max_terms or chars > MAX_TERM_CHARS:
+        return _anchored_mentions(docs, doc_id, text, folded)
+    if ahocorasick is not None:
+        return _scanned_mentions(docs, doc_id, text, folded.collect(), id_type)
+    if n <= MAX_INLINE_TERMS:
+        return _inline_mentions(docs, doc_id, text, folded.collect())
     return _anchored_mentions(docs, doc_id, text, folded)
 
 
 def mention_lists(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, term_id: str,
-                  term: str, max_inline: int = MAX_INLINE_TERMS) -> DataFrame:
+                  term: str, max_terms: int = MAX_TERMS) -> DataFrame:
     """Each text's id with the sorted list of terms it mentions, empty lists included.
 
     A list can be no longer than the list of terms.
     """
-    found = find_mentions(docs, terms, doc_id, text, term_id, term, max_inline)
+    found = find_mentions(docs, terms, doc_id, text, term_id, term, max_terms)
     lists = found.groupBy(doc_id).agg(F.array_sort(F.collect_set("term_id")).alias("mentioned"))
     id_type = terms.schema[term_id].dataType.simpleString()
     empty = F.array().cast(f"array<{id_type}>")

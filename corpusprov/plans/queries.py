@@ -543,7 +543,7 @@ def text_mentions(spark, sf):
 def text_mentions_anchored(spark, sf):
     """The same pairs by the join that serves any number of terms."""
     return men.find_mentions(fx.table(spark, sf, "documents"), fx.table(spark, sf, "benchmark"),
-                             "doc_id", "text", "item_id", "text", max_inline=0)
+                             "doc_id", "text", "item_id", "text", max_terms=0)
 
 
 @query
