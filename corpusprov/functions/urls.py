@@ -17,6 +17,7 @@ URL_PATTERN = (
     r"|https?://(?:www\.|(?!www))[a-zA-Z0-9]+\.[^\s]{2,}"
     r"|www\.[a-zA-Z0-9]+\.[^\s]{2,}"
 )
+INTEGER = r"^\s*[+-]?\d+\s*$"
 DICT_TEXT_URL = r"'url'\s*:\s*'([^']*)'"
 
 
@@ -44,7 +45,9 @@ def path_facets(df: DataFrame, url: str = "url", year_at: int = 3, section_at: i
     If either part is missing, or the year is no integer, both are NULL.
     """
     def facets(parts: Column) -> Column:
-        year = F.get(parts, F.lit(year_at)).try_cast("bigint")
+        text = F.get(parts, F.lit(year_at))
+        # A failed try_cast costs an exception per row, so only integers reach it.
+        year = F.when(text.rlike(INTEGER), text.try_cast("bigint"))
         section = F.get(parts, F.lit(section_at))
         return F.when(
             year.isNotNull() & section.isNotNull(),

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from corpusprov.functions.names import pair_key
 from corpusprov.operators.ordering import broadcast_if_small
+from corpusprov.sources.sinks import append_results, read_results
 
 # Fixed value: stands in for the probability of a domain that Q does not have.
 EPSILON = 1e-12
+RESULT_SCHEMA = "pair_key string, kl_divergence double, computed_at timestamp"
 
 
 def pairs_frame(spark: SparkSession, pairs: list[tuple[list[str], list[str]]]) -> DataFrame:
@@ -131,8 +133,16 @@ def kl_all_pairs(counts: DataFrame, pairs: DataFrame, merge: bool = True,
     return keys.join(found, "pair_key", "left")
 
 
-def count_source_for(pairs: list[tuple[list[str], list[str]]]) -> list[str]:
-    """All dataset names of some pairs, to filter a partitioned table with before a scan."""
+def datasets_of(pairs: list[tuple[list[str], list[str]]]) -> list[str]:
+    """All dataset names of some pairs, to filter a partitioned table with before its scan."""
     names = {n.split("/")[-1] for p, q in pairs
              for side in (p, q) for n in ([side] if isinstance(side, str) else side)}
     return sorted(names)
+
+
+def update_results(counts: DataFrame, pairs: DataFrame, path: str) -> None:
+    """Compute the pairs that the result table at ``path`` does not have yet, and add them."""
+    stored = read_results(counts.sparkSession, path, RESULT_SCHEMA).select("pair_key")
+    keyed = pairs.withColumn("pair_key", pair_key("sources", "targets"))
+    todo = keyed.join(stored, "pair_key", "left_anti").drop("pair_key")
+    append_results(kl_all_pairs(counts, todo), path, "pair_key", RESULT_SCHEMA)

@@ -15,7 +15,8 @@ except ImportError:
     ahocorasick = None
 
 # Fixed value: spellings that count as a mention of the crawl.
-CRAWL_SPELLINGS = r"cc-main|common crawl|commoncrawl"
+CRAWL_SPELLINGS = ["cc-main", "common crawl", "commoncrawl"]
+CRAWL_ID = "commoncrawl"
 MAX_TERMS = 100_000
 MAX_TERM_CHARS = 10_000_000
 MAX_INLINE_TERMS = 1000
@@ -24,7 +25,15 @@ ANCHOR = 8
 
 def mention_flag(text: str | Column) -> Column:
     t = F.col(text) if isinstance(text, str) else text
-    return F.lower(t).rlike(CRAWL_SPELLINGS)
+    return F.lower(t).rlike("|".join(CRAWL_SPELLINGS))
+
+
+def with_crawl_terms(terms: DataFrame, term_id: str, term: str) -> DataFrame:
+    """Terms with text ids, and the spellings of the crawl as terms of one id."""
+    rows = [(CRAWL_ID, spelling) for spelling in CRAWL_SPELLINGS]
+    crawl = terms.sparkSession.createDataFrame(rows, f"`{term_id}` string, `{term}` string")
+    named = terms.select(F.col(term_id).cast("string").alias(term_id), term)
+    return named.unionByName(crawl)
 
 
 def _terms(terms: DataFrame, term_id: str, term: str) -> DataFrame:
@@ -32,6 +41,10 @@ def _terms(terms: DataFrame, term_id: str, term: str) -> DataFrame:
     return folded.where(F.col("term") != "")
 
 
+def _no_mentions(docs: DataFrame, doc_id: str, id_type: str) -> DataFrame:
+    return docs.select(doc_id, F.lit(None).cast(id_type).alias("term_id")).limit(0)
+
+
 def _inline_mentions(docs: DataFrame, doc_id: str, text: str, terms: list) -> DataFrame:
     """Test every term on every text inside one projection: no join and no shuffle."""
     listed = F.array(*[F.struct(F.lit(t.term_id).alias("term_id"), F.lit(t.term).alias("term"))
@@ -103,7 +116,7 @@ def _anchored_mentions(docs: DataFrame, doc_id: str, text: str, terms: DataFrame
         for k in sizes
     ]
     if not found:
-        return texts.join(terms, F.lit(False)).select(doc_id, "term_id")
+        return _no_mentions(docs, doc_id, terms.schema["term_id"].dataType.simpleString())
     candidates = found[0]
     for more in found[1:]:
         candidates = candidates.unionByName(more)
@@ -125,7 +138,7 @@ def find_mentions(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, ter
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars"))
     n, chars = size.first()
     if n == 0:
-        return docs.select(doc_id).join(folded.select("term_id"), F.lit(False))
+        return _no_mentions(docs, doc_id, id_type)
     if n > max_terms or chars > MAX_TERM_CHARS:
         return _anchored_mentions(docs, doc_id, text, folded)
     if ahocorasick is not None:

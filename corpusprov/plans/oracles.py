@@ -357,8 +357,11 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT DISTINCT 'https://huggingface.co/datasets/' || lang || '/' || source
                          AS url, lang AS creator, source AS title FROM documents)""",
         "text_mentions": w(["mentions"], """
-            SELECT d.doc_id, coalesce(string_agg(term_id::VARCHAR, ',' ORDER BY term_id), '')
-                   AS mentioned FROM documents d LEFT JOIN mentions m USING (doc_id) GROUP BY 1"""),
+            , ids AS (SELECT doc_id, term_id::VARCHAR AS t FROM mentions UNION
+                      SELECT doc_id, 'commoncrawl' FROM documents WHERE regexp_matches(
+                      lower(text), 'cc-main|common crawl|commoncrawl'))
+            SELECT d.doc_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS mentioned
+            FROM documents d LEFT JOIN ids USING (doc_id) GROUP BY 1"""),
         "text_mentions_anchored": w(["mentions"], "SELECT doc_id, term_id FROM mentions"),
         "mention_flag": "SELECT doc_id, regexp_matches(lower(text), "
                         "'cc-main|common crawl|commoncrawl') AS mentioned_cc FROM documents",

@@ -534,7 +534,8 @@ def _mentions(spark, sf):
 
 @query
 def text_mentions(spark, sf):
-    out = men.mention_lists(fx.table(spark, sf, "documents"), fx.table(spark, sf, "benchmark"),
+    terms = men.with_crawl_terms(fx.table(spark, sf, "benchmark"), "item_id", "text")
+    out = men.mention_lists(fx.table(spark, sf, "documents"), terms,
                             "doc_id", "text", "item_id", "text")
     return out.withColumn("mentioned", F.array_join("mentioned", ","))
 

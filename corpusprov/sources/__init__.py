@@ -5,6 +5,7 @@ from corpusprov.sources.readers import (
     read_corpus,
     read_xz_lines,
     sample_rows,
+    scan_tables,
     url_columns,
 )
 from corpusprov.sources.rules import ExtractionRule, extract_urls, find_rule, rules_frame
@@ -19,7 +20,7 @@ from corpusprov.sources.sinks import (
 from corpusprov.sources.tables import dataset_slice, host_urls, read_datasets, tagged
 
 __all__ = [
-    "list_files", "read_corpus", "read_xz_lines", "sample_rows", "url_columns",
+    "list_files", "read_corpus", "read_xz_lines", "sample_rows", "scan_tables", "url_columns",
     "ExtractionRule", "extract_urls", "find_rule", "rules_frame",
     "append_results", "compact", "csv_to_parquet", "read_results", "write_csv", "write_url_batch",
     "dataset_slice", "host_urls", "read_datasets", "tagged",

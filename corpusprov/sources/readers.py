@@ -33,16 +33,19 @@ def _lines(raw, decoder) -> object:
         yield rest
 
 
+def _uri(path: str) -> str:
+    """Spark writes a local path with one slash, Arrow wants three."""
+    local = path.startswith("file:/") and not path.startswith("file:///")
+    return "file://" + path.removeprefix("file:") if local else path
+
+
 def _xz_frames(frames):
     for frame in frames:
         for path, content in zip(frame["path"], frame["content"]):
             if content is not None:
                 raw = io.BytesIO(content)
             else:
-                fs, inner = pyarrow.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1)
-                                                           if path.startswith("file:/")
-                                                           and not path.startswith("file:///")
-                                                           else path)
+                fs, inner = pyarrow.fs.FileSystem.from_uri(_uri(path))
                 raw = fs.open_input_file(inner)
             batch = []
             with lzma.open(raw, "rb") as unpacked:
@@ -157,3 +160,22 @@ def url_columns(df: DataFrame, name: str, n: int = 10) -> DataFrame:
     cells = [F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"),
                       F.col(f"c{i}").alias("has_urls")) for i, c in enumerate(suspects)]
     return one.select(F.inline(F.array(*cells)))
+
+
+def scan_tables(spark: SparkSession, loaders: dict, n: int = 10) -> DataFrame:
+    """Per dataset whether any of its columns has URLs; one that cannot be read has none.
+
+    ``loaders`` maps names to functions without arguments that give a DataFrame.
+    """
+    out = None
+    for name, load in loaders.items():
+        try:
+            found = url_columns(load(), name, n).agg(F.max("has_urls").alias("f")).first().f
+            error = None
+        except Exception as e:
+            found, error = False, type(e).__name__
+        one = spark.range(1).select(
+            F.lit(name).alias("table_name"), F.lit(found).alias("has_urls"),
+            F.lit(error).cast("string").alias("error"))
+        out = one if out is None else out.unionByName(one)
+    return out
