@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import defaultdict
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 try:
     import ahocorasick
@@ -41,7 +43,7 @@ def _terms(terms: DataFrame, term_id: str, term: str) -> DataFrame:
     return folded.where(F.col("term") != "")
 
 
-def _no_mentions(docs: DataFrame, doc_id: str, id_type: str) -> DataFrame:
+def _no_mentions(docs: DataFrame, doc_id: str, id_type: T.DataType) -> DataFrame:
     return docs.select(doc_id, F.lit(None).cast(id_type).alias("term_id")).limit(0)
 
 
@@ -69,24 +71,27 @@ def _automaton(shared):
 
 
 def _scanned_mentions(docs: DataFrame, doc_id: str, text: str, terms: list,
-                      id_type: str) -> DataFrame:
+                      id_type: T.DataType) -> DataFrame:
     """Scan every text once for all terms; its cost does not depend on their number."""
     shared = docs.sparkSession.sparkContext.broadcast([(t.term_id, t.term) for t in terms])
     lowered = docs.where(F.col(text).isNotNull()).select(
         F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
 
-    def scan(frames):
+    def scan(batches):
         matcher = _automaton(shared)
-        for frame in frames:
-            docs_out, terms_out = [], []
-            for one, body in zip(frame["doc_id"], frame["text"]):
-                found = {t for _, hits in matcher.iter(body) for t in hits}
-                docs_out.extend([one] * len(found))
-                terms_out.extend(found)
-            yield pd.DataFrame({"doc_id": docs_out, "term_id": terms_out})
-
+        for batch in batches:
+            rows, found = [], []
+            for row, body in enumerate(batch.column(1).to_pylist()):
+                hits = {t for _, ids in matcher.iter(body) for t in ids}
+                rows.extend([row] * len(hits))
+                found.extend(hits)
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found, term_type)],
+                                             ["doc_id", "term_id"])
+
+    term_type = to_arrow_type(id_type)
     doc_type = docs.schema[doc_id].dataType.simpleString()
-    found = lowered.mapInPandas(scan, f"doc_id {doc_type}, term_id {id_type}")
+    found = lowered.mapInArrow(scan, f"doc_id {doc_type}, term_id {id_type.simpleString()}")
     return found.withColumnRenamed("doc_id", doc_id)
 
 
@@ -116,7 +121,7 @@ def _anchored_mentions(docs: DataFrame, doc_id: str, text: str, terms: DataFrame
         for k in sizes
     ]
     if not found:
-        return _no_mentions(docs, doc_id, terms.schema["term_id"].dataType.simpleString())
+        return _no_mentions(docs, doc_id, terms.schema["term_id"].dataType)
     candidates = found[0]
     for more in found[1:]:
         candidates = candidates.unionByName(more)
@@ -133,7 +138,7 @@ def find_mentions(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, ter
     exact.
     """
     folded = _terms(terms, term_id, term)
-    id_type = terms.schema[term_id].dataType.simpleString()
+    id_type = terms.schema[term_id].dataType
     size = folded.limit(max_terms + 1).agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars"))
     n, chars = size.first()
