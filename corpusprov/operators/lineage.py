@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusprov.functions.names import fold_crawl_parent, last_part
@@ -11,6 +11,25 @@ from corpusprov.operators.ordering import top_n_per_group
 # Fixed value: where a dataset id leads.
 DATASET_URL = "https://huggingface.co/datasets/"
 DATASET_URL_PARTS = r"datasets/([^/]+)/([^/]+)$"
+# The hand-drawn family tree of corpora.
+FAMILY_EDGES = """
+common-crawl > oscar-family
+oscar-family > cultura
+oscar-family > oscar-other
+common-crawl > c4-family
+common-crawl > cultura
+common-crawl > falcon
+common-crawl > fineweb
+fineweb > fineweb-edu
+common-crawl > madlad-family
+madlad-family > madlad-cleaned
+madlad-family > madlad-noisy
+common-crawl > zyda-2
+c4-family > c4-en
+c4-family > c4-multilingual
+c4-family > c4-news
+c4-family > c4-other
+"""
 
 
 def lineage_edges(pairs: DataFrame) -> DataFrame:
@@ -20,6 +39,12 @@ def lineage_edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(folded).alias("source"), target.alias("target"))
 
 
+def family_edges(spark: SparkSession) -> DataFrame:
+    """The hand-drawn tree in the form of ``lineage_edges``."""
+    rows = [tuple(line.split(" > ")) for line in FAMILY_EDGES.strip().splitlines()]
+    return spark.createDataFrame(rows, "source string, target string")
+
+
 def dedupe_first(df: DataFrame, key: str, priority: list[Column]) -> DataFrame:
     """One row per key, the first by ``priority``."""
     return top_n_per_group(df, [key], priority, 1)

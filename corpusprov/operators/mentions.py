@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections import defaultdict
-from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,9 @@ try:
 except ImportError:
     ahocorasick = None
 
+# Functions of this module travel to the executors, which need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: spellings that count as a mention of the crawl.
 CRAWL_SPELLINGS = ["cc-main", "common crawl", "commoncrawl"]
 CRAWL_ID = "commoncrawl"
@@ -43,56 +47,55 @@ def _terms(terms: DataFrame, term_id: str, term: str) -> DataFrame:
     return folded.where(F.col("term") != "")
 
 
-def _no_mentions(docs: DataFrame, doc_id: str, id_type: T.DataType) -> DataFrame:
-    return docs.select(doc_id, F.lit(None).cast(id_type).alias("term_id")).limit(0)
+def _empty(id_type: T.DataType) -> Column:
+    return F.array().cast(T.ArrayType(id_type))
 
 
-def _inline_mentions(docs: DataFrame, doc_id: str, text: str, terms: list) -> DataFrame:
-    """Test every term on every text inside one projection: no join and no shuffle."""
-    listed = F.array(*[F.struct(F.lit(t.term_id).alias("term_id"), F.lit(t.term).alias("term"))
-                       for t in terms])
+def _inline_lists(docs: DataFrame, doc_id: str, text: str, terms: list,
+                  id_type: T.DataType) -> DataFrame:
+    """Test every term on every text inside one projection."""
+    listed = F.array(*[F.struct(F.lit(t.term_id).cast(id_type).alias("term_id"),
+                                F.lit(t.term).alias("term")) for t in terms])
     lowered = docs.select(doc_id, F.lower(F.col(text)).alias("_text"))
     hits = F.filter(listed, lambda t: F.contains(F.col("_text"), t["term"]))
-    return lowered.select(doc_id, F.explode(F.transform(hits, lambda t: t["term_id"]))
-                          .alias("term_id")).distinct()
+    ids = F.array_sort(F.array_distinct(F.transform(hits, lambda t: t["term_id"])))
+    return lowered.select(doc_id, F.coalesce(ids, _empty(id_type)).alias("mentioned"))
 
 
-@lru_cache(maxsize=2)
 def _automaton(shared):
-    """Matcher of all terms, built once per Python worker."""
-    ids = defaultdict(list)
-    for term_id, term in shared.value:
-        ids[term].append(term_id)
-    matcher = ahocorasick.Automaton()
-    for term, found in ids.items():
-        matcher.add_word(term, found)
-    matcher.make_automaton()
-    return matcher
-
-
-def _scanned_mentions(docs: DataFrame, doc_id: str, text: str, terms: list,
-                      id_type: T.DataType) -> DataFrame:
-    """Scan every text once for all terms; its cost does not depend on their number."""
+    """Matcher of all terms; kept on the broadcast, so a Python worker builds it once."""
+    if not hasattr(shared, "matcher"):
+        ids = defaultdict(list)
+        for term_id, term in shared.value:
+            ids[term].append(term_id)
+        matcher = ahocorasick.Automaton()
+        for term, found in ids.items():
+            matcher.add_word(term, found)
+        matcher.make_automaton()
+        shared.matcher = matcher
+    return shared.matcher
+
+
+def _scanned_lists(docs: DataFrame, doc_id: str, text: str, terms: list,
+                   id_type: T.DataType) -> DataFrame:
+    """Scan every text once for all terms; the cost does not depend on their number."""
     shared = docs.sparkSession.sparkContext.broadcast([(t.term_id, t.term) for t in terms])
-    lowered = docs.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
+    lowered = docs.select(
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.lower(F.col(text)), F.lit("")).alias("text"))
+    list_type = to_arrow_type(T.ArrayType(id_type))
 
     def scan(batches):
         matcher = _automaton(shared)
         for batch in batches:
-            rows, found = [], []
-            for row, body in enumerate(batch.column(1).to_pylist()):
-                hits = {t for _, ids in matcher.iter(body) for t in ids}
-                rows.extend([row] * len(hits))
-                found.extend(hits)
-            ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found, term_type)],
-                                             ["doc_id", "term_id"])
-
-    term_type = to_arrow_type(id_type)
+            found = [sorted({t for _, ids in matcher.iter(body) for t in ids})
+                     for body in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, list_type)], ["doc_id", "mentioned"])
+
     doc_type = docs.schema[doc_id].dataType.simpleString()
-    found = lowered.mapInArrow(scan, f"doc_id {doc_type}, term_id {id_type.simpleString()}")
-    return found.withColumnRenamed("doc_id", doc_id)
+    lists = lowered.mapInArrow(
+        scan, f"doc_id {doc_type}, mentioned array<{id_type.simpleString()}>")
+    return lists.withColumnRenamed("doc_id", doc_id)
 
 
 def _anchored_mentions(docs: DataFrame, doc_id: str, text: str, terms: DataFrame) -> DataFrame:
@@ -120,8 +123,6 @@ def _anchored_mentions(docs: DataFrame, doc_id: str, text: str, terms: DataFrame
         .select(doc_id, "term_id", "term")
         for k in sizes
     ]
-    if not found:
-        return _no_mentions(docs, doc_id, terms.schema["term_id"].dataType)
     candidates = found[0]
     for more in found[1:]:
         candidates = candidates.unionByName(more)
@@ -129,13 +130,21 @@ def _anchored_mentions(docs: DataFrame, doc_id: str, text: str, terms: DataFrame
     return checked.select(doc_id, "term_id").distinct()
 
 
-def find_mentions(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, term_id: str,
+def _anchored_lists(docs: DataFrame, doc_id: str, text: str, terms: DataFrame,
+                    id_type: T.DataType) -> DataFrame:
+    pairs = _anchored_mentions(docs, doc_id, text, terms)
+    lists = pairs.groupBy(doc_id).agg(F.array_sort(F.collect_set("term_id")).alias("mentioned"))
+    joined = docs.select(doc_id).join(lists, doc_id, "left")
+    return joined.withColumn("mentioned", F.coalesce("mentioned", _empty(id_type)))
+
+
+def mention_lists(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, term_id: str,
                   term: str, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(doc_id, term_id) for every term that a text contains, ignoring case.
+    """Each text's id with the sorted list of terms that it contains, ignoring case.
 
     ``doc_id`` must be unique. Terms go to the tasks while there are at most ``max_terms``
-    and they are short enough together; more of them are matched by a join. All ways are
-    exact.
+    and they are short enough together; then texts are not shuffled at all. More terms are
+    matched by a join. All ways are exact.
     """
     folded = _terms(terms, term_id, term)
     id_type = terms.schema[term_id].dataType
@@ -143,28 +152,20 @@ def find_mentions(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, ter
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars"))
     n, chars = size.first()
     if n == 0:
-        return _no_mentions(docs, doc_id, id_type)
-    if n > max_terms or chars > MAX_TERM_CHARS:
-        return _anchored_mentions(docs, doc_id, text, folded)
-    if ahocorasick is not None:
-        return _scanned_mentions(docs, doc_id, text, folded.collect(), id_type)
-    if n <= MAX_INLINE_TERMS:
-        return _inline_mentions(docs, doc_id, text, folded.collect())
-    return _anchored_mentions(docs, doc_id, text, folded)
+        return docs.select(doc_id, _empty(id_type).alias("mentioned"))
+    if n <= max_terms and chars <= MAX_TERM_CHARS:
+        if ahocorasick is not None:
+            return _scanned_lists(docs, doc_id, text, folded.collect(), id_type)
+        if n <= MAX_INLINE_TERMS:
+            return _inline_lists(docs, doc_id, text, folded.collect(), id_type)
+    return _anchored_lists(docs, doc_id, text, folded, id_type)
 
 
-def mention_lists(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, term_id: str,
+def find_mentions(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, term_id: str,
                   term: str, max_terms: int = MAX_TERMS) -> DataFrame:
-    """Each text's id with the sorted list of terms it mentions, empty lists included.
-
-    A list can be no longer than the list of terms.
-    """
-    found = find_mentions(docs, terms, doc_id, text, term_id, term, max_terms)
-    lists = found.groupBy(doc_id).agg(F.array_sort(F.collect_set("term_id")).alias("mentioned"))
-    id_type = terms.schema[term_id].dataType.simpleString()
-    empty = F.array().cast(f"array<{id_type}>")
-    return docs.select(doc_id).join(lists, doc_id, "left").withColumn(
-        "mentioned", F.coalesce("mentioned", empty))
+    """(doc_id, term_id) rows instead of lists."""
+    lists = mention_lists(docs, terms, doc_id, text, term_id, term, max_terms)
+    return lists.select(doc_id, F.explode("mentioned").alias("term_id"))
 
 
 def mentions_depth1(mentions: DataFrame, wanted: DataFrame, excluded: list[DataFrame],

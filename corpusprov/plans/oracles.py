@@ -104,7 +104,7 @@ def oracle_sql() -> dict[str, str]:
         "scan_parquet_urls": "SELECT url FROM pages WHERE url IS NOT NULL",
         "url_domain_table": w(["urls"], "SELECT url, domain FROM urls"),
         "extract_domain_sql": w(["lines"], "SELECT url, host, domain FROM lines"),
-        "dataset_slice_urls": w(["urls"], "SELECT dataset_name, url, domain FROM urls "
+        "dataset_slice": w(["urls"], "SELECT dataset_name, url, domain FROM urls "
                                 "WHERE dataset_name IN ('pages_de', 'pages_fr')"),
         "like_urls": w(["lines"], "SELECT url FROM lines WHERE url LIKE '%.s1.co.uk%'"),
         "crawl_index_host_urls": w(["crawl_index"], """
@@ -184,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
                    quantile_cont(url_count, 0.25)::DOUBLE AS urls_25th,
                    quantile_cont(url_count, 0.75)::DOUBLE AS urls_75th
             FROM hosts GROUP BY 1"""),
-        "snapshot_dates": w(["hosts"], """
+        "snapshot_timeline": w(["hosts"], """
             SELECT dataset_name, total_urls, year, week,
                    CAST(strptime(year || ' ' || week || ' 1', '%Y %W %w') AS DATE) AS monday
             FROM (SELECT dataset_name, CAST(sum(url_count) AS BIGINT) AS total_urls,

@@ -20,12 +20,12 @@ from corpusprov.operators import lineage as lin
 from corpusprov.operators import manifest as man
 from corpusprov.operators import mentions as men
 from corpusprov.operators import sampling as sam
+from corpusprov.operators import timeline as tim
 from corpusprov.operators.ordering import shared_folder
-from corpusprov.operators.timeline import snapshot_timeline
 from corpusprov.plans import inputs as fx
+from corpusprov.sources import tables as tab
 from corpusprov.sources.readers import url_columns
 from corpusprov.sources.rules import extract_urls, find_rule, rules_frame
-from corpusprov.sources.tables import dataset_slice, host_urls
 from corpusprov.streaming import ingest_counts, running_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +68,8 @@ def extract_domain_sql(spark, sf):
 
 
 @query
-def dataset_slice_urls(spark, sf):
-    return dataset_slice(fx.urls(spark, sf), ["pages_de", "pages_fr"]).select(
+def dataset_slice(spark, sf):
+    return tab.dataset_slice(fx.urls(spark, sf), ["pages_de", "pages_fr"]).select(
         "dataset_name", "url", "domain")
 
 
@@ -80,7 +80,7 @@ def like_urls(spark, sf):
 
 @query
 def crawl_index_host_urls(spark, sf):
-    return host_urls(fx.crawl_index(spark, sf), "CC-MAIN-1998-13", "www.s1.com")
+    return tab.host_urls(fx.crawl_index(spark, sf), "CC-MAIN-1998-13", "www.s1.com")
 
 
 @query
@@ -222,8 +222,8 @@ def snapshot_stats(spark, sf):
 
 
 @query
-def snapshot_dates(spark, sf):
-    return snapshot_timeline(cnt.snapshot_totals(fx.hosts(spark, sf)))
+def snapshot_timeline(spark, sf):
+    return tim.snapshot_timeline(cnt.snapshot_totals(fx.hosts(spark, sf)))
 
 
 @query

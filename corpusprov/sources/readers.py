@@ -5,16 +5,21 @@ from __future__ import annotations
 import codecs
 import io
 import lzma
+import sys
 
 import pandas as pd
 import pyarrow.fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusprov.functions.urls import URL_PATTERN, URL_TERMS
 
-INLINE_XZ_BYTES = 512 * 1024 * 1024
+# Functions of this module travel to the executors, which need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+INLINE_XZ_BYTES = 64 * 1024 * 1024
 LINES_PER_FRAME = 10_000
 READ_BYTES = 4 * 1024 * 1024
 # Compressions that Spark would take for plain text.

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 URL_SCHEMA = "url string, domain string, dataset_name string"
 HOST_SCHEMA = "crawl string, url_host_name string, url_count bigint, dataset_name string"
@@ -15,15 +16,18 @@ def read_datasets(spark: SparkSession, root: str, names: list[str], schema: str
                   ) -> DataFrame:
     """Rows of the named datasets under ``root``, from ``dataset_name=`` folders.
 
-    The filter reaches the partitions, so other datasets are not read. A name without any
-    folder is an error, not an empty dataset.
+    Only the folders asked for are listed and read. A name without a folder is an error,
+    not an empty dataset.
     """
-    df = spark.read.schema(schema).parquet(root).where(F.col("dataset_name").isin(list(names)))
-    found = {p.rsplit("dataset_name=", 1)[1].split("/")[0] for p in df.inputFiles()}
-    missing = sorted(set(names) - found)
-    if missing:
-        raise ValueError(f"unknown datasets: {missing}")
-    return df
+    base = root.rstrip("/")
+    folders = [f"{base}/dataset_name={name}" for name in names]
+    reader = spark.read.schema(schema).option("basePath", base)
+    try:
+        return reader.parquet(*folders)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise ValueError(f"unknown dataset: {e}") from e
 
 
 def tagged(tables: dict[str, DataFrame]) -> DataFrame:

@@ -10,7 +10,7 @@ from corpusprov.operators import labels as lab
 from corpusprov.operators import lineage as lin
 from corpusprov.operators import mentions as men
 from corpusprov.operators import sampling as sam
-from corpusprov.operators.timeline import snapshot_timeline
+from corpusprov.operators.timeline import snapshot_timeline, snapshots_between
 from pyspark.sql import functions as F
 
 DOCS = [
@@ -128,6 +128,8 @@ def test_snapshot_names(spark):
     df = snapshot_timeline(spark.createDataFrame([(n,) for n in names], "dataset_name string"))
     got = {r.dataset_name: (r.year, r.week) for r in df.collect()}
     assert got == {names[0]: (2024, 10), names[1]: (2013, 20), "other": (None, None)}
+    between = snapshots_between(df, (2013, 20), (2024, 9))
+    assert [r.dataset_name for r in between.collect()] == [names[1]]
     flags = spark.createDataFrame([(n,) for n in names], "n string").select(is_crawl("n").alias("c"))
     assert [r.c for r in flags.collect()] == [True, False, False]
 
@@ -144,6 +146,7 @@ def test_lineage(spark, rows):
          (["o/a"], ["o/b"])], "sources array<string>, targets array<string>")
     assert rows(lin.lineage_edges(pairs)) == [
         ("Common Crawl", "child"), ("a", "b"), ("a", "child")]
+    assert ("fineweb", "fineweb-edu") in rows(lin.family_edges(spark))
     first = spark.createDataFrame([("o/x", 500), ("o/y", 100)], "id string, downloads int")
     second = spark.createDataFrame([("o/x", 900), ("o/z", 101)], "id string, downloads int")
     cards = lin.card_table([first, second])
