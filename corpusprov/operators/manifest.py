@@ -62,7 +62,10 @@ def _fill_batches(target: int):
         head, first, pers = [], [], []
         batch, used = 1, 0
         for size, m in zip(sizes["size"].tolist(), sizes["m"].tolist()):
-            room = m if size <= 0 else max(0, (target - used) // size)
+            if size > 0:
+                room = max(0, (target - used) // size)
+            else:
+                room = m if used <= target else 0
             fits = min(m, room if used > 0 else max(room, 1))
             per = m if size <= 0 else max(1, target // size)
             head.append(fits)
