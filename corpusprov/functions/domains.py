@@ -12,7 +12,7 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Common public suffixes of two or more labels, wildcard rules and exceptions.
@@ -138,16 +138,13 @@ def _in(value: str, names: list[str]) -> str:
     return f"{value} IN ({', '.join(repr(n) for n in names)})"
 
 
-def _tail(n: int) -> str:
-    return f"substring_index(h, '.', -{n})"
-
-
-def _suffix_branches(rules: SuffixRules, fold: bool) -> list[tuple[str, int]]:
+def _suffix_branches(h: str, rules: SuffixRules, fold: bool) -> list[tuple[str, int]]:
     """(condition, labels in the suffix), in order of precedence."""
     plain, wild, exc = (rules.by_depth(k) for k in ("plain", "wildcard", "exception"))
 
     def tail(n: int) -> str:
-        return f"lower({_tail(n)})" if fold else _tail(n)
+        text = f"substring_index({h}, '.', -{n})"
+        return f"lower({text})" if fold else text
 
     branches = [(_in(tail(n), exc[n]), n - 1) for n in sorted(exc, reverse=True)]
     deepest = max([*plain, *(n + 1 for n in wild), 0])
@@ -162,38 +159,56 @@ def _suffix_branches(rules: SuffixRules, fold: bool) -> list[tuple[str, int]]:
     return branches
 
 
-def domain_sql(host: str, rules: SuffixRules | None = None, strict_parity: bool = False) -> str:
-    """SQL text for the registered domain of the host expression ``host``.
+def _domain_case(h: str, rules: SuffixRules | None, strict_parity: bool) -> str:
+    """Domain of the host named ``h``, which should be a column or variable: it is repeated."""
+    rules = rules or SuffixRules.common()
 
-    By default an IP address, a single label, and a host that is itself a suffix give NULL.
-    ``strict_parity`` instead joins the two parts with a dot whatever they are, so that
-    ``localhost`` gives ``localhost.`` and a missing host gives ``.``; letter case is kept.
+    def tail(n: int) -> str:
+        return f"substring_index({h}, '.', -{n})"
 
-    The host is bound to a lambda variable, so its expression appears once: a filter on the
-    domain that the optimizer moves below the projection does not multiply the URL parsing.
-    """
-    rules = rules or SuffixRules.common()
     is_ip = (
-        "(startswith(h, '[') OR "
-        f"(right(h, 1) BETWEEN '0' AND '9' AND h RLIKE '{_IPV4}'))"
+        f"(startswith({h}, '[') OR "
+        f"(right({h}, 1) BETWEEN '0' AND '9' AND {h} RLIKE '{_IPV4}'))"
     )
     cases = []
     if strict_parity:
-        cases.append(f"WHEN h IS NULL THEN '.' WHEN {is_ip} THEN h || '.'")
-        for cond, n in _suffix_branches(rules, fold=True):
+        cases.append(f"WHEN {h} IS NULL THEN '.' WHEN {is_ip} THEN {h} || '.'")
+        for cond, n in _suffix_branches(h, rules, fold=True):
             cases.append(
-                f"WHEN {cond} THEN if({_tail(n + 1)} = {_tail(n)}, '.' || h, {_tail(n + 1)})"
+                f"WHEN {cond} THEN if({tail(n + 1)} = {tail(n)}, '.' || {h}, {tail(n + 1)})"
             )
-        last = f"{_tail(1)} || '.'"
+        last = f"{tail(1)} || '.'"
         if rules.default_rule:
-            last = f"if({_tail(2)} = {_tail(1)}, {last}, {_tail(2)})"
+            last = f"if({tail(2)} = {tail(1)}, {last}, {tail(2)})"
         cases.append(f"ELSE {last}")
     else:
         cases.append(f"WHEN {is_ip} THEN NULL")
-        for cond, n in _suffix_branches(rules, fold=False):
-            cases.append(f"WHEN {cond} THEN nullif({_tail(n + 1)}, {_tail(n)})")
-        cases.append(f"ELSE nullif({_tail(2)}, {_tail(1)})" if rules.default_rule else "ELSE NULL")
-    return f"transform(array({host}), h -> CASE {' '.join(cases)} END)[0]"
+        for cond, n in _suffix_branches(h, rules, fold=False):
+            cases.append(f"WHEN {cond} THEN nullif({tail(n + 1)}, {tail(n)})")
+        cases.append(f"ELSE nullif({tail(2)}, {tail(1)})" if rules.default_rule else "ELSE NULL")
+    return f"CASE {' '.join(cases)} END"
+
+
+def domain_sql(host: str, rules: SuffixRules | None = None, strict_parity: bool = False) -> str:
+    """SQL text for the registered domain of the host expression ``host``.
+
+    By default an IP address, a single label, and a host that is itself a suffix give NULL.
+    ``strict_parity`` instead joins the two parts with a dot whatever they are, so that
+    ``localhost`` gives ``localhost.`` and a missing host gives ``.``; letter case is kept.
+
+    The host is bound to a lambda variable, so that its expression appears only once.
+    """
+    return f"transform(array({host}), h -> {_domain_case('h', rules, strict_parity)})[0]"
+
+
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later steps may use many times but that is worked out once.
+
+    A one-element generator stays inside whole-stage codegen, and the optimizer does not
+    copy its expression into filters and projections above it.
+    """
+    bound = df.select("*", F.inline(F.array(F.struct(value.alias("_bound")))))
+    return bound.drop(name).withColumnRenamed("_bound", name)
 
 
 def with_domain(
@@ -204,16 +219,17 @@ def with_domain(
     host: str = "host",
     domain: str = "domain",
 ) -> DataFrame:
-    """Add host and registered-domain columns to a table of URLs."""
-    with_host = df.withColumn(host, F.expr(url_host_sql(f"`{url}`", keep_case=strict_parity)))
-    return with_host.withColumn(domain, F.expr(domain_sql(f"`{host}`", rules, strict_parity)))
+    """Add host and registered-domain columns to a table of URLs (see ``domain_sql``)."""
+    found = F.expr(url_host_sql(f"`{url}`", keep_case=strict_parity))
+    case = F.expr(_domain_case(f"`{host}`", rules, strict_parity))
+    return bind(df, host, found).withColumn(domain, case)
 
 
 def host_to_domain(df: DataFrame, host: str, domain: str = "domain",
                    rules: SuffixRules | None = None) -> DataFrame:
     """Add the registered domain of an existing host column."""
-    folded = df.withColumn(domain, F.lower(F.col(host)))
-    return folded.withColumn(domain, F.expr(domain_sql(f"`{domain}`", rules)))
+    folded = bind(df, "_host", F.lower(F.col(host)))
+    return folded.withColumn(domain, F.expr(_domain_case("_host", rules, False))).drop("_host")
 
 
 def register_domain_functions(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusprov.functions.domains import bind
+
 # Terms that make a column name look URL-bearing, and what a URL looks like.
 URL_TERMS = [
     "url", "link", "domain", "website", "site", "web", "http", "https", "www", "uri", "href",
@@ -44,20 +46,10 @@ def path_facets(df: DataFrame, url: str = "url", year_at: int = 3, section_at: i
 
     If either part is missing, or the year is no integer, both are NULL.
     """
-    def facets(parts: Column) -> Column:
-        text = F.get(parts, F.lit(year_at))
-        # A failed try_cast costs an exception per row, so only integers reach it.
-        year = F.when(text.rlike(INTEGER), text.try_cast("bigint"))
-        section = F.get(parts, F.lit(section_at))
-        return F.when(
-            year.isNotNull() & section.isNotNull(),
-            F.struct(year.alias("year"), section.alias("section")),
-        )
-
-    # A lambda binds the parts, so the URL is split once however often they are used.
-    bound = F.get(F.transform(F.array(F.split(F.col(url), "/")), facets), F.lit(0))
-    return (
-        df.withColumn("_facets", bound)
-        .withColumns({"year": F.col("_facets.year"), "section": F.col("_facets.section")})
-        .drop("_facets")
-    )
+    parts = bind(df, "_parts", F.split(F.col(url), "/"))
+    text = F.get("_parts", F.lit(year_at))
+    # A failed try_cast costs an exception per row, so only integers reach it.
+    year = F.when(text.rlike(INTEGER), text.try_cast("bigint"))
+    section = F.get("_parts", F.lit(section_at))
+    ok = year.isNotNull() & section.isNotNull()
+    return parts.withColumns({"year": F.when(ok, year), "section": F.when(ok, section)}).drop("_parts")

@@ -39,7 +39,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     """A derived corpus: one URL per line item, dated unless the item was returned."""
     part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     dated = F.concat(
-        F.date_format("l_shipdate", "/yyyy/MM/dd"), F.lit("/sec"),
+        F.lit("/"), F.translate(F.to_date("l_shipdate").cast("string"), "-", "/"), F.lit("/sec"),
         F.col("l_linenumber").cast("string"), F.lit("/"), part)
     path = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("/p/"), part)).otherwise(dated)
     raw = _lines(spark, sf).select(
