@@ -162,13 +162,12 @@ def _in(value: str, names: list[str]) -> str:
     return f"{value} IN ({', '.join(repr(n) for n in names)})"
 
 
-def _suffix_branches(h: str, rules: SuffixRules, fold: bool) -> list[tuple[str, int]]:
+def _suffix_branches(tail_of, rules: SuffixRules, fold: bool) -> list[tuple[str, int]]:
     """(condition, labels in the suffix), in order of precedence."""
     plain, wild, exc = (rules.by_depth(k) for k in ("plain", "wildcard", "exception"))
 
     def tail(n: int) -> str:
-        text = f"substring_index({h}, '.', -{n})"
-        return f"lower({text})" if fold else text
+        return f"lower({tail_of(n)})" if fold else tail_of(n)
 
     branches = [(_in(tail(n), exc[n]), n - 1) for n in sorted(exc, reverse=True)]
     deepest = max([*plain, *(n + 1 for n in wild), 0])
@@ -183,21 +182,26 @@ def _suffix_branches(h: str, rules: SuffixRules, fold: bool) -> list[tuple[str,
     return branches
 
 
-def _domain_case(h: str, rules: SuffixRules | None, strict_parity: bool) -> str:
-    """Domain of the host named ``h``, which should be a column or variable: it is repeated."""
-    rules = rules or SuffixRules.common()
+def _last_labels(h: str, n: int) -> str:
+    return f"substring_index({h}, '.', -{n})"
 
-    def tail(n: int) -> str:
-        return f"substring_index({h}, '.', -{n})"
 
+def _domain_case(h: str, rules: SuffixRules | None, strict_parity: bool, tail=None) -> str:
+    """Domain of the host named ``h``; ``tail(n)`` is the SQL for its last n labels.
+
+    Both are repeated, so they should be columns or variables.
+    """
+    rules = rules or SuffixRules.common()
+    tail = tail or (lambda n: _last_labels(h, n))
+    # Only a last label that begins with a digit is worth the full test for an IPv4 address.
     is_ip = (
         f"(startswith({h}, '[') OR "
-        f"(right({h}, 1) BETWEEN '0' AND '9' AND {h} RLIKE '{_IPV4}'))"
+        f"({tail(1)} >= '0' AND {tail(1)} < ':' AND {h} RLIKE '{_IPV4}'))"
     )
     cases = []
     if strict_parity:
         cases.append(f"WHEN {h} IS NULL THEN '.' WHEN {is_ip} THEN {h} || '.'")
-        for cond, n in _suffix_branches(h, rules, fold=True):
+        for cond, n in _suffix_branches(tail, rules, fold=True):
             cases.append(
                 f"WHEN {cond} THEN if({tail(n + 1)} = {tail(n)}, '.' || {h}, {tail(n + 1)})"
             )
@@ -207,7 +211,7 @@ def _domain_case(h: str, rules: SuffixRules | None, strict_parity: bool) -> str:
         cases.append(f"ELSE {last}")
     else:
         cases.append(f"WHEN {is_ip} THEN NULL")
-        for cond, n in _suffix_branches(h, rules, fold=False):
+        for cond, n in _suffix_branches(tail, rules, fold=False):
             cases.append(f"WHEN {cond} THEN nullif({tail(n + 1)}, {tail(n)})")
         cases.append(f"ELSE nullif({tail(2)}, {tail(1)})" if rules.default_rule else "ELSE NULL")
     return f"CASE {' '.join(cases)} END"
@@ -225,14 +229,26 @@ def domain_sql(host: str, rules: SuffixRules | None = None, strict_parity: bool
     return f"transform(array({host}), h -> {_domain_case('h', rules, strict_parity)})[0]"
 
 
-def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that later steps may use many times but that is worked out once.
+def bind(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns that later steps may use many times but that are worked out once.
 
     A one-element generator stays inside whole-stage codegen, and the optimizer does not
-    copy its expression into filters and projections above it.
+    copy its expressions into filters and projections above it.
     """
-    bound = df.select("*", F.inline(F.array(F.struct(value.alias("_bound")))))
-    return bound.drop(name).withColumnRenamed("_bound", name)
+    cells = F.struct(*[v.alias(f"_bound_{k}") for k, v in values.items()])
+    bound = df.select("*", F.inline(F.array(cells))).drop(*values)
+    return bound.withColumnsRenamed({f"_bound_{k}": k for k in values})
+
+
+def _bound_domain(df: DataFrame, host: str, domain: str, rules: SuffixRules | None,
+                  strict_parity: bool) -> DataFrame:
+    """Domain of a host column, with the host's tails bound first."""
+    rules = rules or SuffixRules.common()
+    depths = [n for k in ("plain", "wildcard", "exception") for n in rules.by_depth(k)]
+    tails = {f"_tail{n}": F.expr(_last_labels(f"`{host}`", n))
+             for n in range(1, max([*depths, 1]) + 3)}
+    case = _domain_case(f"`{host}`", rules, strict_parity, lambda n: f"_tail{n}")
+    return bind(df, **tails).withColumn(domain, F.expr(case)).drop(*tails)
 
 
 def with_domain(
@@ -248,17 +264,16 @@ def with_domain(
     The host is cut out in two bound steps, at half the cost of the one regular expression
     that ``url_host_sql`` needs.
     """
-    cut = bind(df, "_authority", F.expr(_authority_sql(f"`{url}`")))
-    found = bind(cut, host, F.expr(_authority_host("_authority", strict_parity)))
-    case = F.expr(_domain_case(f"`{host}`", rules, strict_parity))
-    return found.withColumn(domain, case).drop("_authority")
+    cut = bind(df, _authority=F.expr(_authority_sql(f"`{url}`")))
+    found = bind(cut, **{host: F.expr(_authority_host("_authority", strict_parity))})
+    return _bound_domain(found, host, domain, rules, strict_parity).drop("_authority")
 
 
 def host_to_domain(df: DataFrame, host: str, domain: str = "domain",
                    rules: SuffixRules | None = None) -> DataFrame:
     """Add the registered domain of an existing host column."""
-    folded = bind(df, "_host", F.lower(F.col(host)))
-    return folded.withColumn(domain, F.expr(_domain_case("_host", rules, False))).drop("_host")
+    folded = bind(df, _host=F.lower(F.col(host)))
+    return _bound_domain(folded, "_host", domain, rules, False).drop("_host")
 
 
 def register_domain_functions(

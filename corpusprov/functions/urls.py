@@ -46,7 +46,7 @@ def path_facets(df: DataFrame, url: str = "url", year_at: int = 3, section_at: i
 
     If either part is missing, or the year is no integer, both are NULL.
     """
-    parts = bind(df, "_parts", F.split(F.col(url), "/"))
+    parts = bind(df, _parts=F.split(F.col(url), "/"))
     text = F.get("_parts", F.lit(year_at))
     # A failed try_cast costs an exception per row, so only integers reach it.
     year = F.when(text.rlike(INTEGER), text.try_cast("bigint"))
