@@ -8,12 +8,19 @@ from corpusprov.sources.readers import (
     scan_tables,
     url_columns,
 )
-from corpusprov.sources.rules import ExtractionRule, extract_urls, find_rule, rules_frame
+from corpusprov.sources.rules import (
+    ExtractionRule,
+    extract_batch,
+    extract_urls,
+    find_rule,
+    rules_frame,
+)
 from corpusprov.sources.sinks import (
     append_results,
     compact,
     csv_to_parquet,
     read_results,
+    write_batches,
     write_csv,
     write_url_batch,
 )
@@ -21,7 +28,7 @@ from corpusprov.sources.tables import dataset_slice, host_urls, read_datasets, t
 
 __all__ = [
     "list_files", "read_corpus", "read_xz_lines", "sample_rows", "scan_tables", "url_columns",
-    "ExtractionRule", "extract_urls", "find_rule", "rules_frame",
-    "append_results", "compact", "csv_to_parquet", "read_results", "write_csv", "write_url_batch",
+    "ExtractionRule", "extract_batch", "extract_urls", "find_rule", "rules_frame",
+    "append_results", "compact", "csv_to_parquet", "read_results", "write_batches", "write_csv", "write_url_batch",
     "dataset_slice", "host_urls", "read_datasets", "tagged",
 ]

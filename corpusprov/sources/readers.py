@@ -22,6 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 INLINE_XZ_BYTES = 64 * 1024 * 1024
 LINES_PER_FRAME = 10_000
 READ_BYTES = 4 * 1024 * 1024
+# Quoted fields may hold line breaks, and quotes are doubled inside them.
+CSV_OPTIONS = {"multiLine": True, "escape": '"'}
 # Compressions that Spark would take for plain text.
 UNREADABLE = (".xz", ".lzma", ".7z", ".rar", ".zip")
 
@@ -103,8 +105,12 @@ def read_corpus(spark: SparkSession, paths: list[str] | str, suffix: str | None
         return reader.json(paths)
     if suffix.endswith(UNREADABLE):
         raise ValueError(f"cannot read {suffix} files")
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.csv(paths, header=True)
+    rows = spark.read.csv(paths, header=True, **CSV_OPTIONS)
+    if schema is None:
+        return rows
+    # A schema on the reader would go by position; fields are meant by name.
+    fields = spark.createDataFrame([], schema).schema.fields
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in fields])
 
 
 def _suffix_of(paths: list[str]) -> str:

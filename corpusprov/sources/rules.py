@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from corpusprov.functions.domains import SuffixRules, with_domain
 from corpusprov.functions.names import clean_name, output_name
 from corpusprov.functions.urls import DICT_TEXT_URL
+from corpusprov.operators.manifest import requested_batch
+from corpusprov.sources.readers import read_corpus
+from corpusprov.sources.sinks import write_url_batch
 
 # Dataset | variant | path prefixes | suffix | excluded text | URL field.
 # Lists are separated by commas. "dict:" fields hold a printed dict, "json:" fields JSON text.
@@ -89,6 +92,12 @@ class ExtractionRule:
             return found if strict_parity else f"nullif({found}, '')"
         return self.url_field
 
+    @property
+    def output(self) -> str:
+        """Name of the URL dataset."""
+        variant = "" if self.variant == "default" else f"_{self.variant}"
+        return f"{self.dataset.split('/')[-1]}_urls{variant}"
+
     def read_schema(self) -> str:
         """Only the field that holds the URL, so that nothing else is parsed."""
         kind, _, field = self.url_field.partition(":")
@@ -136,3 +145,23 @@ def extract_urls(raw: DataFrame, rule: ExtractionRule | str, suffixes: SuffixRul
     sql = rule if isinstance(rule, str) else rule.url_sql(strict_parity)
     urls = raw.select(F.expr(sql).alias("url")).where(F.col("url").isNotNull())
     return with_domain(urls, "url", suffixes, strict_parity).select("url", "domain")
+
+
+def extract_batch(spark: SparkSession, batched: DataFrame, batch: int, rule: ExtractionRule,
+                  source: str, target: str, suffixes: SuffixRules | None = None,
+                  max_files: int = 100_000) -> bool:
+    """Extract the URLs of one batch of files into its partition of the URL table.
+
+    ``batched`` is the batch list of one dataset. False means that there is no such batch.
+    Spark wants the paths of a read as a list, so a batch has a limit of files; ``ingest_urls``
+    needs none.
+    """
+    files = requested_batch(batched, batch).select("path").limit(max_files + 1).collect()
+    if len(files) > max_files:
+        raise ValueError(f"batch {batch} has more than {max_files} files; use smaller batches")
+    if not files:
+        return False
+    paths = [f"{source.rstrip('/')}/{f.path}" for f in files]
+    raw = read_corpus(spark, paths, rule.suffix, rule.read_schema())
+    write_url_batch(extract_urls(raw, rule, suffixes), target, rule.output, batch)
+    return True

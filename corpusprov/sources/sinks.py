@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from corpusprov.sources.readers import read_corpus
+
 
 def write_url_batch(urls: DataFrame, root: str, dataset_name: str, batch: int,
                     compression: str = "zstd") -> None:
@@ -18,6 +20,11 @@ def write_url_batch(urls: DataFrame, root: str, dataset_name: str, batch: int,
      .parquet(root))
 
 
+def write_batches(batched: DataFrame, path: str, by: list[str]) -> None:
+    """Store batch lists, one partition per group and batch, so that one batch reads alone."""
+    batched.write.mode("overwrite").partitionBy(*by, "batch").parquet(path)
+
+
 def compact(spark: SparkSession, source: str, target: str, files: int,
             compression: str = "zstd") -> None:
     """Rewrite many small files as ``files`` even ones."""
@@ -26,11 +33,11 @@ def compact(spark: SparkSession, source: str, target: str, files: int,
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: str) -> None:
-    df = spark.read.schema(schema).csv(source, header=True)
+    df = read_corpus(spark, source, ".csv", schema)
     df.write.mode("overwrite").option("compression", "zstd").parquet(target)
 
 

@@ -5,9 +5,10 @@ import lzma
 import pytest
 from corpusprov.operators import manifest as man
 from corpusprov.sources import (
-    append_results, compact, csv_to_parquet, dataset_slice, extract_urls, find_rule, host_urls,
+    append_results, compact, csv_to_parquet, dataset_slice, extract_batch, extract_urls, find_rule, host_urls,
     list_files, read_corpus, read_datasets, read_results, read_xz_lines, rules_frame, sample_rows,
-    scan_tables, tagged, url_columns, write_csv, write_url_batch,
+    scan_tables, tagged, url_columns, write_batches, write_csv,
+    write_url_batch,
 )
 from corpusprov.sources.rules import all_rules
 from corpusprov.streaming import ingest_counts, ingest_urls, running_counts
@@ -36,6 +37,37 @@ def test_formats(spark, tmp_path):
     assert sorted(r.url for r in df.collect()) == URLS
 
 
+def test_csv_fields_go_by_name_and_may_hold_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text,url\n1,"two\nlines, ""quoted""",u1\n2,x,u2\n')
+    df = read_corpus(spark, str(tmp_path / "a.csv"), schema="url string, id int")
+    assert sorted(map(tuple, df.collect())) == [("u1", 1), ("u2", 2)]
+
+
+def test_from_files_to_url_table(spark, tmp_path):
+    rule = find_rule("allenai/madlad-400", "clean")
+    root, target = str(tmp_path / "in"), str(tmp_path / "out")
+    folder = tmp_path / "in" / "data-v1p5" / "en"
+    folder.mkdir(parents=True)
+    for i in range(5):
+        for kind in ("clean", "noisy"):
+            text = ndjson([{"url": URLS[i], "text": "x"}, {"text": "no url"}])
+            (folder / f"{kind}_{i}.jsonl.gz").write_bytes(gzip.compress(text.encode()))
+    files = list_files(spark, root).where(
+        man.rule_filter("path", rule.prefixes, rule.suffix, rule.excludes))
+    files = files.selectExpr(f"'{rule.output}' AS dataset_name", "path", "size")
+    assert files.count() == 5
+    store = str(tmp_path / "batches")
+    write_batches(man.size_batches(files, ["dataset_name"], 200), store, ["dataset_name"])
+    batched = spark.read.parquet(store)
+    numbers = sorted(r.batch for r in batched.select("batch").distinct().collect())
+    assert numbers[0] == 1 and len(numbers) > 1
+    for n in numbers:
+        assert extract_batch(spark, batched, n, rule, root, target)
+    assert not extract_batch(spark, batched, 99, rule, root, target)
+    got = read_datasets(spark, target, ["madlad-400_urls_clean"])
+    assert sorted(r.url for r in got.collect()) == URLS
+
+
 def test_xz_whole_file_in_pieces_and_by_path(spark, tmp_path, monkeypatch):
     lines = [f"{i} " + "ü" * (i % 50) for i in range(25_000)]
     for k in range(2):
