@@ -51,3 +51,68 @@ def op10_best_fit_packing(spark, sf):
 
     docs = table(spark, sf, "documents")
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+def remainder(of: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+@query
+def op2_quality_classifier(spark, sf):
+    from corpusprov.llm import quality
+
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels").where("quality is not null").where(remainder(3) != 1)
+    ids = labels.select("doc_id", F.col("quality").alias("label"))
+    weights = quality.train(docs.select("doc_id", "text").join(ids, "doc_id"))
+    return quality.score(docs, weights, ["doc_id"]).select(
+        "doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op4_benchmark_decontamination(spark, sf):
+    from corpusprov.llm import decontaminate
+
+    hits = decontaminate.benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query
+def op9_language_id(spark, sf):
+    from corpusprov.llm import language
+
+    docs = table(spark, sf, "documents")
+    model = language.learn(docs.where(remainder(4) != 2))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+ORACLES["op4_benchmark_decontamination"] = """
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i
+        FROM (SELECT *, least(10, len(w)) AS n FROM item_words WHERE len(w) > 0))
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), doc_windows AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM doc_words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (SELECT d.doc_id, d.i, d.n, b.item_id FROM doc_windows d JOIN windows b USING (n, win)
+), words_hit AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS sha
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
