@@ -116,3 +116,70 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op1_exact_top_k(spark, sf):
+    from corpusprov.llm import topk
+
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20, scale=64.0)
+
+
+ORACLES["op1_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
+
+@query
+def op3_line_dedup(spark, sf):
+    from corpusprov.llm import lines
+
+    kept = lines.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"), edits=2)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+ORACLES["op3_line_dedup"] = """
+WITH RECURSIVE occ AS (
+  SELECT doc_id, i, parts[i] AS raw, regexp_replace(parts[i], '^\\s+|\\s+$', '', 'g') AS line
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
+), lines AS (SELECT line, min(CAST(doc_id AS HUGEINT) * 1000000 + i) AS f FROM occ WHERE length(line) >= 20 GROUP BY line
+), links AS (
+  SELECT a.f AS x, b.f AS y FROM lines a JOIN lines b
+    ON length(b.line) BETWEEN length(a.line) - 2 AND length(a.line) + 2 AND a.f <> b.f
+  -- two edits leave the first, the last or the middle third of a line as it is
+  WHERE (a.line[1:length(a.line) // 3] = b.line[1:length(a.line) // 3]
+      OR a.line[-(length(a.line) // 3):] = b.line[-(length(a.line) // 3):]
+      OR contains(b.line, a.line[length(a.line) // 3 + 1:length(a.line) - length(a.line) // 3 - 1]))
+    AND levenshtein(a.line, b.line) <= 2
+), reach AS (SELECT f AS x, f AS y FROM lines UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), head AS (SELECT x, min(y) AS h FROM reach GROUP BY x
+), kept AS (
+  SELECT o.*, l.f IS NOT NULL AND h <> CAST(doc_id AS HUGEINT) * 1000000 + i AS gone
+  FROM occ o LEFT JOIN lines l ON o.line = l.line AND length(o.line) >= 20 LEFT JOIN head ON head.x = l.f
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_sha256
+FROM kept GROUP BY doc_id
+"""
+
+
+@query
+def op5_balanced_sharding(spark, sf):
+    from corpusprov.llm import shards
+
+    placed = shards.shard_documents(table(spark, sf, "documents"), shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
