@@ -183,3 +183,29 @@ def op5_balanced_sharding(spark, sf):
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op6_ngram_jaccard_join(spark, sf):
+    from corpusprov.llm import jaccard
+
+    return jaccard.jaccard_components(table(spark, sf, "documents"))
+
+
+ORACLES["op6_ngram_jaccard_join"] = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM words)
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), links AS (
+  SELECT p.x, p.y FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY ALL) p JOIN sizes s ON s.doc_id = p.x JOIN sizes t ON t.doc_id = p.y
+  WHERE 100 * c >= 75 * (s.n + t.n - c)
+), reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
+FROM words w LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.x = w.doc_id GROUP BY w.doc_id
+"""
