@@ -209,3 +209,10 @@ WITH RECURSIVE words AS (
 SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
 FROM words w LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.x = w.doc_id GROUP BY w.doc_id
 """
+
+
+@query
+def op7_suffix_array_dedup(spark, sf):
+    from corpusprov.llm import suffixes
+
+    return suffixes.without_repeats(table(spark, sf, "documents"), length=100).drop("kept")
