@@ -383,11 +383,13 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = 5) -> DataFrame:
-    """Documents with all columns, one row of each component: smallest doc_id, then text.
+    """Documents with all columns, one row of each component: the smallest doc_id's first row.
 
-    Documents without words stay. Documents with a null doc_id that are alone stay too.
+    A null doc_id counts as smallest. Documents without words all stay. Rows are told
+    apart by their place in ``docs``, which should be a table that is read again alike.
     """
-    found = jaccard_components(docs, n).where("n_shingles > 0").where("doc_id != component_id").select("doc_id").distinct()
-    rest = docs.join(found, "doc_id", "left_anti")
-    # rows that share a doc_id: equal texts are one document
-    return rest.dropDuplicates(["doc_id", "text"]) if "text" in docs.columns else rest
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n)
+    placed = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    kept = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("least"))
+    return rows.join(kept.select(F.col("least._row").alias("_row")), "_row", "left_semi").drop("_row")
