@@ -262,10 +262,10 @@ def light_boundary(histogram: dict[int, int]) -> int:
 
 
 def _keys(nodes: DataFrame, boundary: int) -> DataFrame:
-    """Entries of subsets and inverted lists: key, node, size."""
+    """Entries of subsets and inverted lists: key, node, size, lone (share of n-grams alone)."""
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owner = [], []
+            keys, owner, lone = [], [], []
             size = batch.column("size").to_numpy()
             for k, (n, g, c) in enumerate(zip(size.tolist(), batch.column("grams").to_pylist(), batch.column("counts").to_pylist())):
                 grams, counts = np.frombuffer(g, np.uint64), np.frombuffer(c, "<u2")
@@ -279,14 +279,16 @@ def _keys(nodes: DataFrame, boundary: int) -> DataFrame:
                     prefix = n - -(-3 * n // 4) + 1 - free
                     own.append(grams[np.lexsort((grams, counts))[: max(prefix, 0)]])
                 own = np.concatenate(own) if own else np.zeros(0, np.uint64)
+                lone.append(1 - len(grams) / n)
                 keys.append(own)
                 owner.append(np.full(len(own), k))
             keys, owner = np.concatenate(keys), np.concatenate(owner)
             nodes = batch.column("node").take(pa.array(owner))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), nodes, pa.array(size[owner])], names=["key", "node", "size"])
+                [pa.array(keys.view(np.int64)), nodes, pa.array(size[owner]), pa.array(np.array(lone)[owner])],
+                names=["key", "node", "size", "lone"])
 
-    return nodes.mapInArrow(enter, "key bigint, node binary, size bigint")
+    return nodes.mapInArrow(enter, "key bigint, node binary, size bigint, lone double")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -316,43 +318,59 @@ def _fits(x: str, y: str):
     return (4 * F.col(x) >= 3 * F.col(y)) & (4 * F.col(y) >= 3 * F.col(x))
 
 
-def node_components(nodes: DataFrame, boundary: int) -> DataFrame:
-    """``node`` and ``component`` for nodes that have links."""
-    entries = _keys(nodes, boundary)
-    shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    lists = stored(entries.join(shared, "key").select("key", "node", "size", "low", "high"), "lists")
+def _against(asked: DataFrame, nodes: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Verified pairs of ``node`` and ``pivot``, without those found before."""
     sizes = nodes.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size"))
-    found: DataFrame | None = None
-    for pivot in ("low", "high"):  # each list is scanned against one of its members
-        asked = lists.where(F.col("node") != F.col(pivot)).select("node", "size", F.col(pivot).alias("pivot"))
-        asked = asked.distinct().join(sizes, "pivot").where(_fits("size", "pivot_size"))
-        pairs = asked.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if found is not None:
-            known = found.where("linked").select("a", "b")
-            groups = components(known, "near")
-            at = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}"))
-            pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
-            pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
-            pairs = pairs.where(~F.coalesce(F.col("in_a") == F.col("in_b"), F.lit(False))).select("a", "b")
-        new = stored(_verified(pairs, nodes), "verified")
-        found = new if found is None else found.unionByName(new)
-    # what is left: members of a list that are in different components and not told apart by
-    # their distances to the member that the list was scanned against
-    groups = stored(components(found.where("linked").select("a", "b"), "near"), "near-nodes")
-    placed = lists.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_lists = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    placed = placed.join(mixed_lists, "key")
-    spans = found.select(F.col("a").alias("node"), F.col("b").alias("low"), "distance").unionByName(
-        found.select(F.col("b").alias("node"), F.col("a").alias("low"), "distance"))
-    placed = placed.join(spans, ["node", "low"], "left").withColumn(
-        "distance", F.when(F.col("node") == F.col("low"), 0.0).otherwise(F.col("distance")))
-    placed = stored(placed.select("key", "node", "size", "component", "distance"), "mixed-lists")
-    x = placed.select("key", *[F.col(c).alias(f"{c}_x") for c in placed.columns[1:]])
-    y = placed.select("key", *[F.col(c).alias(f"{c}_y") for c in placed.columns[1:]])
-    apart = F.coalesce(F.abs(F.col("distance_x") - F.col("distance_y")) <= 0.25 + 1e-9, F.lit(True))
+    asked = asked.distinct().join(sizes, "pivot").where(_fits("size", "pivot_size"))
+    pairs = asked.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    if found is not None:
+        pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
+    return stored(_verified(pairs, nodes), "verified")
+
+
+def _placed(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Lists that reach over several components, with each member's component."""
+    groups = components(found.where("linked").select("a", "b"), "near")
+    placed = lists.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    return stored(placed.join(several.select("key"), "key"), "open-lists")
+
+
+def node_components(nodes: DataFrame, boundary: int, rounds: int = 2) -> DataFrame:
+    """``node`` and ``component`` for nodes that have links.
+
+    Each list is scanned against the member with the smallest share of n-grams that no
+    other node has, which is likeliest to be the source of the others' copies; then, in
+    lists that still reach over several components, against one outside its component.
+    """
+    entries = _keys(nodes, boundary)
+    least, most = F.min(F.struct("lone", "node")), F.max(F.struct("lone", "node"))
+    shared = entries.groupBy("key").agg(least.alias("least"), most.alias("most")).where("least != most")
+    lists = entries.join(shared.select("key", F.col("least.node").alias("pivot")), "key")
+    lists = stored(lists.withColumn("done", F.col("node") == F.col("pivot")), "lists")
+    found = _against(lists.where("not done").select("node", "size", "pivot"), nodes, None)
+    for _ in range(rounds):
+        lists = _placed(lists, found)
+        home = lists.where(F.col("node") == F.col("pivot")).select("key", F.col("component").alias("home"))
+        outside = lists.join(home, "key").where("not done and component != home")
+        following = outside.groupBy("key").agg(least.alias("next")).select("key", F.col("next.node").alias("next"))
+        lists = lists.join(following, "key", "left")
+        theirs = lists.where(F.col("node") == F.col("next")).select("key", F.col("component").alias("theirs"))
+        asked = lists.join(theirs, "key").where("component != theirs").select("node", "size", F.col("next").alias("pivot"))
+        found = found.unionByName(_against(asked, nodes, found))
+        lists = lists.withColumn("done", F.col("done") | F.coalesce(F.col("node") == F.col("next"), F.lit(False))).drop("next")
+    # What is left: members of a list that were not scanned against, are in different
+    # components, and aren't told apart by their distances to the list's first.
+    lists = _placed(lists, found).where("not done")
+    spans = found.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance").unionByName(
+        found.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "distance"))
+    left = stored(lists.join(spans, ["node", "pivot"], "left").select("key", "node", "size", "component", "distance"), "rest-lists")
+    x = left.select("key", *[F.col(c).alias(f"{c}_x") for c in left.columns[1:]])
+    y = left.select("key", *[F.col(c).alias(f"{c}_y") for c in left.columns[1:]])
+    near = F.coalesce(F.abs(F.col("distance_x") - F.col("distance_y")) <= 0.25 + 1e-9, F.lit(True))
     rest = (
         x.join(y, (x.key == y.key) & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y"))
-               & _fits("size_x", "size_y") & apart)
+               & _fits("size_x", "size_y") & near)
         .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
         .join(found.select("a", "b"), ["a", "b"], "left_anti"))
     links = found.where("linked").select("a", "b").unionByName(_verified(rest, nodes).where("linked").select("a", "b"))

@@ -29,7 +29,7 @@ from corpusprov.llm.arrays import Substrings, mixed, slices, text_bytes
 
 SEED = 32
 #: Bytes of text behind one flush.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 16 << 20
 #: A text beyond this is worked on in overlapping chunks.
 CHUNK = 8 << 20
 _PLACE = 24
@@ -220,14 +220,17 @@ def _surroundings(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 ids = part.column("doc_id").fill_null(_FIRST).to_numpy()
                 out["doc"], out["row"] = ids[doc], part.column("row").to_numpy()[doc]
                 out["at"], out["lo"], out["hi"] = a - at[doc], a - lo[pick], a - hi[pick]
-                index = a[:, None] + np.arange(-before, length)
-                inside = (index >= (a - out["lo"])[:, None]) & (index < (a - out["hi"] + length)[:, None])
-                text = np.where(inside, flat[np.clip(index, 0, len(flat) - 1)], 0).astype(np.uint8)
+                wide = np.zeros(len(flat) + before + length, np.uint8)
+                wide[before : before + len(flat)] = flat
+                text = np.lib.stride_tricks.sliding_window_view(wide, before + length)[a]
+                column = np.arange(-before, length, dtype=np.int16)
+                text[column < -out["lo"].astype(np.int16)[:, None]] = 0
+                text[column >= (length - out["hi"]).astype(np.int16)[:, None]] = 0
                 whole = Substrings(flat).hashes(a - out["lo"], a - out["hi"] + length)
                 mark = mixed(whole + mixed((out["lo"].astype(np.uint64) << np.uint64(32)) + out["hi"].astype(np.uint64)))
                 held.append((h, out, text, mark))
                 size += text.size
-                if size >= FLUSH_BYTES * 2:
+                if size >= FLUSH_BYTES:
                     yield flush()
         if held:
             yield flush()
@@ -293,7 +296,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.monotonically_increasing_id().alias("row"))
     texts = plain.repartition(buckets, "row")  # shuffled once for both joins
     repeated = _repeated(_asked(plain, length, buckets))
-    around = _surroundings(texts.join(repeated, "row"), length, buckets)
+    around = _surroundings(texts.join(repeated, "row"), length, 4 * buckets)
     spans = _later(around, length).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
