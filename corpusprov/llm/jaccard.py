@@ -336,6 +336,67 @@ def _placed(lists: DataFrame, found: DataFrame) -> DataFrame:
     return stored(placed.join(several.select("key"), "key"), "open-lists")
 
 
+def _differences(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What sets a member's kept n-grams apart from its pivot's: those it has more, then
+    those it lacks, in an order that is the same for all; ``off`` bounds what it must share.
+    """
+    own = nodes.select("node", "grams", "counts")
+    other = nodes.select(F.col("node").alias("pivot"), F.col("grams").alias("pivot_grams"))
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, parts = [], []
+            for n, g, c, p in zip(*(batch.column(x).to_pylist() for x in ("size", "grams", "counts", "pivot_grams"))):
+                grams, counts, pivot = np.frombuffer(g, np.uint64), np.frombuffer(c, "<u2"), np.frombuffer(p, np.uint64)
+                more = ~np.isin(grams, pivot, assume_unique=True)
+                extra = grams[more][np.lexsort((grams[more], counts[more]))]
+                lacks = pivot[~np.isin(pivot, grams, assume_unique=True)]
+                off.append(3 * n / 7 - len(pivot) / 2 + len(lacks))
+                parts.append(np.r_[mixed(extra + np.uint64(1)), mixed(lacks)].view(np.int64))
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.r_[0, np.cumsum([len(x) for x in parts])], pa.int32()), pa.array(np.concatenate(parts)))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in ("pivot", "node", "size", "component")), pa.array(off), lists],
+                names=["pivot", "node", "size", "component", "off", "apart"])
+
+    return members.join(own, "node").join(other, "pivot").mapInArrow(
+        differ, "pivot binary, node binary, size bigint, component binary, off double, apart array<bigint>")
+
+
+def _by_differences(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Candidates ``a``, ``b`` among members of one pivot that are in different components.
+
+    With P the pivot's kept n-grams, x and y have |P| - lacks(x) - lacks(y) of them in common
+    and, beyond that, as many n-grams as their differences from P have in common. So two
+    members link only if their differences share off(x) + off(y) elements or more, rounded
+    up. Of a pair that is apart one at least isn't linked to the pivot, which makes that
+    number large, and the differences' prefixes that must meet short. A pair that needs
+    nothing in common is linked to the member with the least ``off``, as is its partner.
+    """
+    linked = found.where("linked")
+    to_pivot = linked.select(F.col("a").alias("node"), F.col("b").alias("pivot")).unionByName(
+        linked.select(F.col("b").alias("node"), F.col("a").alias("pivot"))).withColumn("near", F.lit(True))
+    apart = stored(_differences(members, nodes).join(to_pivot, ["node", "pivot"], "left"), "apart")
+    ends = apart.groupBy("pivot").agg(
+        F.min(F.struct("off", "node")).alias("least"), F.min(F.when(F.col("near").isNull(), F.col("off"))).alias("least_far"))
+    marked = apart.join(ends, "pivot")
+    first = F.when(F.col("near").isNull(), F.col("least.off")).otherwise(F.col("least_far"))
+    need = F.greatest(F.ceil(F.col("off") + first - 1e-9), F.lit(1))
+    prefix = F.greatest(F.size("apart") - need + 1, F.lit(0)).cast("int")
+    entries = marked.where("near is null or least_far is not null").select(
+        "pivot", "node", "size", "component", "near", F.explode(F.slice("apart", 1, prefix)).alias("part"))
+    x = entries.where("near is null").toDF(*[f"{c}_x" for c in entries.columns])
+    y = entries.toDF(*[f"{c}_y" for c in entries.columns])
+    met = x.join(
+        y, (F.col("pivot_x") == F.col("pivot_y")) & (F.col("part_x") == F.col("part_y"))
+        & (F.col("component_x") != F.col("component_y")) & _fits("size_x", "size_y")
+        & (F.col("near_y").isNotNull() | (F.col("node_x") < F.col("node_y"))))
+    met = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+    free = marked.where((F.col("off") + F.col("least.off") <= 1e-9) & (F.col("node") != F.col("least.node")))
+    free = free.select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"))
+    return met.unionByName(free).distinct()
+
+
 def node_components(nodes: DataFrame, boundary: int, rounds: int = 2) -> DataFrame:
     """``node`` and ``component`` for nodes that have links.
 
@@ -359,20 +420,9 @@ def node_components(nodes: DataFrame, boundary: int, rounds: int = 2) -> DataFra
         asked = lists.join(theirs, "key").where("component != theirs").select("node", "size", F.col("next").alias("pivot"))
         found = found.unionByName(_against(asked, nodes, found))
         lists = lists.withColumn("done", F.col("done") | F.coalesce(F.col("node") == F.col("next"), F.lit(False))).drop("next")
-    # What is left: members of a list that were not scanned against, are in different
-    # components, and aren't told apart by their distances to the list's first.
-    lists = _placed(lists, found).where("not done")
-    spans = found.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance").unionByName(
-        found.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "distance"))
-    left = stored(lists.join(spans, ["node", "pivot"], "left").select("key", "node", "size", "component", "distance"), "rest-lists")
-    x = left.select("key", *[F.col(c).alias(f"{c}_x") for c in left.columns[1:]])
-    y = left.select("key", *[F.col(c).alias(f"{c}_y") for c in left.columns[1:]])
-    near = F.coalesce(F.abs(F.col("distance_x") - F.col("distance_y")) <= 0.25 + 1e-9, F.lit(True))
-    rest = (
-        x.join(y, (x.key == y.key) & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y"))
-               & _fits("size_x", "size_y") & near)
-        .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-        .join(found.select("a", "b"), ["a", "b"], "left_anti"))
+    # what is left: members of a list that were not scanned against and are apart
+    left = _placed(lists, found).where("not done").select("node", "size", "component", "pivot").distinct()
+    rest = _by_differences(left, nodes, found).join(found.select("a", "b"), ["a", "b"], "left_anti")
     links = found.where("linked").select("a", "b").unionByName(_verified(rest, nodes).where("linked").select("a", "b"))
     return components(links, "near")
 
