@@ -10,52 +10,47 @@ leave it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusprov.llm.components import components
-from corpusprov.llm.folders import stored
+from corpusprov.llm.folders import sieved, stored
 
 MIN_CHARS = 20
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment ``i`` of lines of a length; the last ones are longer."""
+def _keys(lines: DataFrame, edits: int) -> DataFrame:
+    """Index and probe keys of every line: ``k``, ``id``, ``indexed``."""
     n = edits + 1
+    probes = [
+        F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift"))
+        for less in range(n) for i in range(n)
+        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    spread = lines.select("id", "line", "size", F.explode(F.array(*probes)).alias("p"))
+    length, i = F.col("size") - F.col("p.less"), F.col("p.i")
+    # even segments, of which the last ones have a character more
     short = F.floor(length / n).cast("int")
-    longer = (length - short * n).cast("int")
-    first_long = n - longer  # segments from here on have one more character
-    start = F.lit(i) * short + F.greatest(F.lit(i) - first_long, F.lit(0))
-    return start, short + (F.lit(i) >= first_long).cast("int")
-
-
-def _keys(lines: DataFrame, edits: int) -> DataFrame:
-    """Index and probe keys of every line: ``id``, ``k``, ``indexed``, ``length``."""
-    rows = []
-    size = F.col("size")
-    for less in range(edits + 1):
-        length = size - less
-        for i in range(edits + 1):
-            start, width = _segment(length, i, edits)
-            low = max(-i, less - (edits - i))
-            high = min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                part = F.substring(F.col("line"), start + shift + 1, width)
-                rows.append(F.struct(
-                    F.xxhash64(F.lit(i), length, part).alias("k"), F.lit(less == 0 and shift == 0).alias("indexed")))
-    # a line of the indexed length with no shift is index and probe at once
-    return lines.select("id", F.inline(F.array(*rows)))
+    longer = F.lit(n) - (length - short * n)
+    start = i * short + F.greatest(i - longer, F.lit(0))
+    width = short + (i >= longer).cast("int")
+    part = F.substring(F.col("line"), start + F.col("p.shift") + 1, width)
+    # a line of the indexed length without a shift is index and probe at once
+    indexed = (F.col("p.less") == 0) & (F.col("p.shift") == 0)
+    return spread.select(F.xxhash64(i, length, part).alias("k"), "id", indexed.alias("indexed"))
 
 
 def line_links(lines: DataFrame, edits: int = 2) -> DataFrame:
     """Links ``a``, ``b`` between distinct lines (``id``, ``line``) within ``edits`` edits."""
     lines = lines.withColumn("size", F.char_length("line"))
-    keys = _keys(lines, edits)
-    shared = keys.groupBy("k").agg(
-        F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("indexed"))
-    shared = shared.where("low != high and indexed").select("k")
-    kept = stored(keys.join(shared, "k").distinct(), "line-keys")
-    texts = stored(lines.join(kept.select("id").distinct(), "id"), "line-texts")
+    packed = (F.col("id") * 2 + F.col("indexed").cast("int")).alias("v")
+    keys = _keys(lines, edits).select("k", packed).repartition("k")  # shuffled once for both uses
+    id_of, indexed = F.shiftright("v", 1), F.col("v") % 2 == 1
+    shared = keys.groupBy("k").agg(F.min(id_of).alias("low"), F.max(id_of).alias("high"), F.max(indexed).alias("any"))
+    shared = shared.where("low != high and any").select("k")
+    kept = keys.join(shared.hint("shuffle_hash"), "k").select("k", id_of.alias("id"), indexed.alias("indexed"))
+    kept = stored(kept.distinct(), "line-keys")
+    ids = kept.select("id").distinct()
+    texts = stored(sieved(lines, "id", ids).where("_likely").drop("_likely").join(ids, "id"), "line-texts")
     met = kept.join(texts, "id")
     index = met.where("indexed").select("k", F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("size").alias("size_a"))
     probe = met.select("k", F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("size").alias("size_b"))
@@ -97,10 +92,16 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = MIN_CHARS) ->
         slim.drop("line").join(again, "digest")
         .where(~(F.struct("doc", "_row", "at") == F.col("head")))
         .groupBy("_row").agg(F.collect_set("at").alias("gone")))
+    removed = stored(removed, "removed")
     lines = F.split("text", "\n")
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    left = F.filter(lines, lambda _, i: ~F.array_contains(gone, i))
-    return rows.join(removed, "_row", "left").select(
-        *[F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in names],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_removed"))
+    left = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
+    counted = rows.withColumn("_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
+    marked = sieved(counted, "_row", removed.select("_row"), "_changed")
+    whole = marked.where("not _changed").withColumn("gone", F.array().cast("array<int>"))
+    changed = marked.where("_changed").join(removed, "_row", "left").withColumn(
+        "gone", F.coalesce("gone", F.array().cast("array<int>")))
+    changed = changed.withColumn("text", F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
+    return changed.unionByName(whole).select(
+        *[F.col(f"`{c}`") for c in names],
+        F.col("_lines").cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_removed"))

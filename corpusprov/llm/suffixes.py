@@ -33,6 +33,8 @@ FLUSH_BYTES = 16 << 20
 #: A text beyond this is worked on in overlapping chunks.
 CHUNK = 8 << 20
 _PLACE = 24
+#: Texts of one step; each byte takes about a hundred bytes of memory there.
+STEP_BYTES = 1 << 20
 _FIRST = -(1 << 63)
 
 
@@ -117,7 +119,7 @@ def _asked(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=STEP_BYTES):
                 task = part.column("task")[0].as_py()
                 flat, at, (place, _, _, h) = text_anchors(part.column("text"), length)
                 seeds.append(h)
@@ -209,7 +211,7 @@ def _surroundings(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=STEP_BYTES):
                 flat, at, (place, lo, hi, h) = text_anchors(part.column("text"), length)
                 start = np.searchsorted(place, at)
                 lists = [np.frombuffer(x, "<u4").astype(np.int64) for x in part.column("owners").to_pylist()]
@@ -301,7 +303,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=STEP_BYTES):
                 flat, at = text_bytes(part.column("text"))
                 change = np.zeros(len(flat) + 1, np.int64)
                 lists = part.column("spans")
