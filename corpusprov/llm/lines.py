@@ -98,7 +98,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = MIN_CHARS) ->
     counted = rows.withColumn("_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
     marked = sieved(counted, "_row", removed.select("_row"), "_changed")
     whole = marked.where("not _changed").withColumn("gone", F.array().cast("array<int>"))
-    changed = marked.where("_changed").join(removed, "_row", "left").withColumn(
+    changed = marked.where("_changed").join(removed.hint("merge"), "_row", "left").withColumn(
         "gone", F.coalesce("gone", F.array().cast("array<int>")))
     changed = changed.withColumn("text", F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
     return changed.unionByName(whole).select(
