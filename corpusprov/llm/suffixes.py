@@ -29,12 +29,12 @@ from corpusprov.llm.arrays import Substrings, mixed, slices, text_bytes
 
 SEED = 32
 #: Bytes of text behind one flush.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 #: A text beyond this is worked on in overlapping chunks.
 CHUNK = 8 << 20
 _PLACE = 24
 #: Texts of one step; each byte takes about a hundred bytes of memory there.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 _FIRST = -(1 << 63)
 
 
@@ -255,10 +255,10 @@ def _later(around: DataFrame, length: int) -> DataFrame:
             order = np.lexsort((place["at"], place["row"], place["doc"]))
             place, text = place[order], text[order]
             hashes, entry, shift = [], [], []
-            for a in range(0, len(place), 8192):
-                part = place[a : a + 8192]
+            for a in range(0, len(place), 2048):
+                part = place[a : a + 2048]
                 wide = text.shape[1]
-                sums = Substrings(text[a : a + 8192].reshape(-1))
+                sums = Substrings(text[a : a + 2048].reshape(-1))
                 n = part["lo"] - part["hi"] + 1
                 e = np.repeat(np.arange(len(part)), n)
                 o = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + part["hi"][e]
