@@ -107,12 +107,9 @@ class SuffixRules:
         path: str,
         private: bool = False,
         default_rule: bool = True,
-        max_chars: int = 4_000_000,
     ) -> SuffixRules:
         """Read a list in the public-suffix file format (comments start with ``//``)."""
         text = spark.read.text(path, wholetext=True)
-        if text.where(F.length("value") > max_chars).limit(1).count():
-            raise ValueError(f"{path} is larger than a suffix list should be")
         lines = [ln.strip() for row in text.collect() for ln in row.value.splitlines()]
         if not private:
             mark = next((i for i, ln in enumerate(lines) if "BEGIN PRIVATE DOMAINS" in ln), None)

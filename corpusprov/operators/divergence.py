@@ -12,7 +12,7 @@ second read for totals.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusprov.functions.names import pair_key
@@ -21,7 +21,7 @@ from corpusprov.sources.sinks import append_results, read_results
 
 # Fixed value: stands in for the probability of a domain that Q does not have.
 EPSILON = 1e-12
-RESULT_SCHEMA = "pair_key string, kl_divergence double, computed_at timestamp"
+RESULT_SCHEMA = "pair_id string, pair_key string, kl_divergence double, computed_at timestamp"
 
 
 def pairs_frame(spark: SparkSession, pairs: list[tuple[list[str], list[str]]]) -> DataFrame:
@@ -31,17 +31,26 @@ def pairs_frame(spark: SparkSession, pairs: list[tuple[list[str], list[str]]]) -
     return spark.createDataFrame(rows, "sources array<string>, targets array<string>")
 
 
+def pair_id(sources: str, targets: str) -> Column:
+    """What a pair is: a digest of the full names of either side, in any order, once each.
+
+    ``pair_key`` is only a label, which different pairs may share.
+    """
+    sides = F.struct(F.array_sort(F.array_distinct(sources)), F.array_sort(F.array_distinct(targets)))
+    return F.sha2(F.to_json(sides), 256)
+
+
 def pair_members(pairs: DataFrame) -> DataFrame:
-    """(pair_key, side, dataset_name), once per dataset of a side."""
-    keyed = pairs.withColumn("pair_key", pair_key("sources", "targets"))
+    """(pair_id, side, dataset_name), once per dataset of a side."""
+    keyed = pairs.withColumn("pair_id", pair_id("sources", "targets"))
     sides = [
         keyed.select(
-            "pair_key", F.lit(side).alias("side"), F.explode(F.array_distinct(col)).alias("member")
+            "pair_id", F.lit(side).alias("side"), F.explode(F.array_distinct(col)).alias("member")
         )
         for side, col in (("p", "sources"), ("q", "targets"))
     ]
     members = sides[0].unionByName(sides[1])
-    return members.select("pair_key", "side", F.element_at(F.split("member", "/"), -1)
+    return members.select("pair_id", "side", F.element_at(F.split("member", "/"), -1)
                           .alias("dataset_name")).distinct()
 
 
@@ -51,16 +60,15 @@ def require_known(members: DataFrame, known: DataFrame) -> None:
         members.select("dataset_name")
         .distinct()
         .join(known.select("dataset_name").distinct(), "dataset_name", "left_anti")
-        .orderBy("dataset_name")
-        .limit(20)
-        .collect()
+        .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("dataset_name")).alias("names"))
+        .first()
     )
-    if missing:
-        raise ValueError(f"unknown datasets: {[r.dataset_name for r in missing]}")
+    if missing.n:
+        raise ValueError(f"{missing.n} unknown datasets: {missing.names}")
 
 
 def kl_by_pair(rows: DataFrame, merge: bool = True) -> DataFrame:
-    """KL per pair from rows ``(pair_key, side, domain, url_count)``.
+    """KL per pair from rows ``(pair_id, side, domain, url_count)``.
 
     ``merge`` adds up the rows of a domain on each side first. Without it every row keeps
     its own probability and each row of P meets each row of Q with its domain; that sum
@@ -71,7 +79,7 @@ def kl_by_pair(rows: DataFrame, merge: bool = True) -> DataFrame:
     """
     n = F.col("url_count").cast("double")
     p, q = F.col("side") == "p", F.col("side") == "q"
-    per_domain = rows.where(F.col("url_count") > 0).groupBy("pair_key", "domain").agg(
+    per_domain = rows.where(F.col("url_count") > 0).groupBy("pair_id", "domain").agg(
         F.sum(F.when(p, n)).alias("a"),
         F.sum(F.when(q, n)).alias("b"),
         F.sum(F.when(p, n * F.ln(n))).alias("rows_a_ln_a"),
@@ -84,7 +92,7 @@ def kl_by_pair(rows: DataFrame, merge: bool = True) -> DataFrame:
     uses = F.when(matched, F.lit(1.0) if merge else F.col("rows_b")).otherwise(1.0)
     a_ln_a = a * F.ln(a) if merge else F.col("rows_a_ln_a")
     ln_b = F.ln(b) if merge else F.col("rows_ln_b")
-    sums = per_domain.groupBy("pair_key").agg(
+    sums = per_domain.groupBy("pair_id").agg(
         F.sum(a).alias("total_a"),
         F.sum(b).alias("total_b"),
         F.sum(a * uses).alias("a_used"),
@@ -102,13 +110,13 @@ def kl_by_pair(rows: DataFrame, merge: bool = True) -> DataFrame:
         + F.coalesce(c("a_matched") * F.ln("total_b"), zero)
         - F.coalesce(c("a_unmatched"), zero) * F.ln(F.lit(EPSILON))
     )
-    return sums.select("pair_key", (total / c("total_a")).alias("kl_divergence"))
+    return sums.select("pair_id", (total / c("total_a")).alias("kl_divergence"))
 
 
 def kl_divergence(p: DataFrame, q: DataFrame, key: str = "domain", merge: bool = True) -> DataFrame:
     """KL(P || Q) of two count tables, as one row."""
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.lit("pair").alias("pair_key"), F.lit(name).alias("side"),
+        return df.select(F.lit("pair").alias("pair_id"), F.lit(name).alias("side"),
                          F.col(key).alias("domain"), "url_count")
 
     kl = kl_by_pair(side(p, "p").unionByName(side(q, "q")), merge)
@@ -117,20 +125,22 @@ def kl_divergence(p: DataFrame, q: DataFrame, key: str = "domain", merge: bool =
 
 
 def kl_all_pairs(counts: DataFrame, pairs: DataFrame, merge: bool = True,
-                 check_names: bool = False) -> DataFrame:
-    """KL of every pair in one job.
+                 check_names: bool = True) -> DataFrame:
+    """KL of every pair in one job: pair_id, pair_key and kl_divergence, a row for each pair.
 
     ``counts`` is ``(dataset_name, domain, url_count)``, best summed per dataset and domain
-    already, since a dataset's rows are repeated for every pair that uses it.
+    already, since a dataset's rows are repeated for every pair that uses it. Unknown names
+    are errors unless ``check_names`` is off, which takes them as empty.
     """
     members = pair_members(pairs)
     if check_names:
         require_known(members, counts)
     members = broadcast_if_small(members)
-    rows = counts.join(members, "dataset_name").select("pair_key", "side", "domain", "url_count")
+    rows = counts.join(members, "dataset_name").select("pair_id", "side", "domain", "url_count")
     found = kl_by_pair(rows, merge)
-    keys = pairs.select(pair_key("sources", "targets").alias("pair_key")).distinct()
-    return keys.join(found, "pair_key", "left")
+    keys = pairs.select(
+        pair_id("sources", "targets").alias("pair_id"), pair_key("sources", "targets").alias("pair_key"))
+    return keys.join(found, "pair_id", "left")
 
 
 def datasets_of(pairs: list[tuple[list[str], list[str]]]) -> list[str]:
@@ -142,7 +152,7 @@ def datasets_of(pairs: list[tuple[list[str], list[str]]]) -> list[str]:
 
 def update_results(counts: DataFrame, pairs: DataFrame, path: str) -> None:
     """Compute the pairs that the result table at ``path`` does not have yet, and add them."""
-    stored = read_results(counts.sparkSession, path, RESULT_SCHEMA).select("pair_key")
-    keyed = pairs.withColumn("pair_key", pair_key("sources", "targets"))
-    todo = keyed.join(stored, "pair_key", "left_anti").drop("pair_key")
-    append_results(kl_all_pairs(counts, todo), path, "pair_key", RESULT_SCHEMA)
+    stored = read_results(counts.sparkSession, path, RESULT_SCHEMA).select("pair_id")
+    keyed = pairs.withColumn("pair_id", pair_id("sources", "targets")).dropDuplicates(["pair_id"])
+    todo = keyed.join(stored, "pair_id", "left_anti").drop("pair_id")
+    append_results(kl_all_pairs(counts, todo), path, "pair_id", RESULT_SCHEMA)

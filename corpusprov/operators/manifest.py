@@ -89,7 +89,10 @@ def size_batches(manifest: DataFrame, by: list[str], target: int = BATCH_BYTES,
     A batch closes when the next file would take it over ``target`` and it is not empty.
     Only the distinct sizes go through the sequential step: files with B bytes in all have
     at most sqrt(2B) of them. Files of one size are told apart by their number within it.
+    Files of unknown size are batch 0 of their group.
     """
+    unknown = manifest.where(F.col(size).isNull()).withColumn("batch", F.lit(0))
+    manifest = manifest.where(F.col(size).isNotNull())
     by_size = [*by, size]
     sizes = manifest.groupBy(*by_size).agg(F.count(F.lit(1)).alias("m"))
     named = sizes.withColumnRenamed(size, "size")
@@ -104,7 +107,8 @@ def size_batches(manifest: DataFrame, by: list[str], target: int = BATCH_BYTES,
                   + [F.col(size) == F.col("_size")])
     beyond = F.col("first") + 1 + F.floor((F.col("_nth") - F.col("head") - 1) / F.col("per"))
     batch = F.when(F.col("_nth") <= F.col("head"), F.col("first")).otherwise(beyond)
-    return numbered.join(plan, same).select(*manifest.columns, batch.cast("int").alias("batch"))
+    batched = numbered.join(plan, same).select(*manifest.columns, batch.cast("int").alias("batch"))
+    return batched.unionByName(unknown)
 
 
 def batch_stats(batched: DataFrame, by: list[str], size: str = "size") -> DataFrame:

@@ -280,19 +280,20 @@ def kl_divergence_hosts(spark, sf):
 
 @query
 def kl_all_pairs(spark, sf):
-    out = div.kl_all_pairs(_domain_level(spark, sf), fx.pairs(spark, sf))
+    out = div.kl_all_pairs(_domain_level(spark, sf), fx.pairs(spark, sf)).drop("pair_id")
     return rounded(out, "kl_divergence")
 
 
 @query
 def kl_all_pairs_hosts(spark, sf):
-    out = div.kl_all_pairs(_host_level(spark, sf), fx.pairs(spark, sf))
+    out = div.kl_all_pairs(_host_level(spark, sf), fx.pairs(spark, sf)).drop("pair_id")
     return rounded(out, "kl_divergence")
 
 
 @query
 def kl_all_pairs_unmerged(spark, sf):
-    out = div.kl_all_pairs(_host_level(spark, sf, merge=False), fx.pairs(spark, sf), merge=False)
+    counts = _host_level(spark, sf, merge=False)
+    out = div.kl_all_pairs(counts, fx.pairs(spark, sf), merge=False).drop("pair_id")
     return rounded(out, "kl_divergence", places=6)
 
 
@@ -510,8 +511,7 @@ def mark_collected(spark, sf):
 @query
 def distinct_readmes(spark, sf):
     docs = fx.table(spark, sf, "documents").select("source", "text")
-    kept = docs.where(F.col("text") != "").distinct()
-    return kept.select("source", F.md5("text").alias("text_md5"))
+    return docs.where(F.col("text") != "").select("source", F.md5("text").alias("text_md5")).distinct()
 
 
 @query

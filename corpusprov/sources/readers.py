@@ -138,10 +138,10 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         .select("path", F.col("length").alias("size"))
     )
-    base = root.rstrip("/").split("://", 1)[-1]
-    base = base.removeprefix("file:")
-    inner = F.substring_index(F.col("path"), base + "/", -1)
-    return files.select(inner.alias("path"), "size")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(path).toString().rstrip("/")
+    return files.select(F.expr(f"substring(path, {len(base) + 2})").alias("path"), "size")
 
 
 def sample_rows(df: DataFrame, n: int = 100, order: list[str] | None = None) -> DataFrame:
@@ -149,8 +149,10 @@ def sample_rows(df: DataFrame, n: int = 100, order: list[str] | None = None) ->
     return df.orderBy(*order).limit(n) if order else df.limit(n)
 
 
-def url_columns(df: DataFrame, name: str, n: int = 10) -> DataFrame:
-    """Per column whose name suggests URLs, whether any of n sampled values is one.
+def url_columns(df: DataFrame, name: str, n: int | None = None) -> DataFrame:
+    """Per column whose name suggests URLs, whether any value is one.
+
+    With ``n``, only n sampled rows are looked at.
 
     ``has_urls`` on the row of the whole table is true if any column has them.
     """
@@ -166,14 +168,15 @@ def url_columns(df: DataFrame, name: str, n: int = 10) -> DataFrame:
         return spark.range(1).select(
             F.lit(name).alias("table_name"), F.lit(None).cast("string").alias("column_name"),
             F.lit(False).alias("has_urls"))
-    sampled = df.select(*[f"`{c}`" for c in suspects]).limit(n)
+    sampled = df.select(*[f"`{c}`" for c in suspects])
+    sampled = sampled if n is None else sampled.limit(n)
     one = sampled.agg(*[flags.get(c, F.lit(False)).alias(f"c{i}") for i, c in enumerate(suspects)])
     cells = [F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"),
                       F.col(f"c{i}").alias("has_urls")) for i, c in enumerate(suspects)]
     return one.select(F.inline(F.array(*cells)))
 
 
-def scan_tables(spark: SparkSession, loaders: dict, n: int = 10) -> DataFrame:
+def scan_tables(spark: SparkSession, loaders: dict, n: int | None = None) -> DataFrame:
     """Per dataset whether any of its columns has URLs; one that cannot be read has none.
 
     ``loaders`` maps names to functions without arguments that give a DataFrame.

@@ -148,17 +148,14 @@ def extract_urls(raw: DataFrame, rule: ExtractionRule | str, suffixes: SuffixRul
 
 
 def extract_batch(spark: SparkSession, batched: DataFrame, batch: int, rule: ExtractionRule,
-                  source: str, target: str, suffixes: SuffixRules | None = None,
-                  max_files: int = 100_000) -> bool:
+                  source: str, target: str, suffixes: SuffixRules | None = None) -> bool:
     """Extract the URLs of one batch of files into its partition of the URL table.
 
     ``batched`` is the batch list of one dataset. False means that there is no such batch.
-    Spark wants the paths of a read as a list, so a batch has a limit of files; ``ingest_urls``
-    needs none.
+    Spark wants the paths of a read as a list on the driver; for batches too long for that
+    there is ``ingest_urls``.
     """
-    files = requested_batch(batched, batch).select("path").limit(max_files + 1).collect()
-    if len(files) > max_files:
-        raise ValueError(f"batch {batch} has more than {max_files} files; use smaller batches")
+    files = requested_batch(batched, batch).select("path").collect()
     if not files:
         return False
     paths = [f"{source.rstrip('/')}/{f.path}" for f in files]

@@ -10,13 +10,18 @@ from corpusprov.sources.readers import read_corpus
 
 
 def write_url_batch(urls: DataFrame, root: str, dataset_name: str, batch: int,
-                    compression: str = "zstd") -> None:
-    """Write one batch of a dataset; writing the same batch again replaces it."""
-    rows = urls.withColumns({"dataset_name": F.lit(dataset_name), "batch": F.lit(batch)})
+                    compression: str = "zstd", writer: str = "lists") -> None:
+    """Write one batch of a dataset; writing the same batch again replaces it.
+
+    ``writer`` names who numbers the batches, so that batches of two writers, such as two
+    streams into one dataset, can't replace each other.
+    """
+    rows = urls.withColumns({
+        "dataset_name": F.lit(dataset_name), "writer": F.lit(writer), "batch": F.lit(batch)})
     (rows.write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .option("compression", compression)
-     .partitionBy("dataset_name", "batch")
+     .partitionBy("dataset_name", "writer", "batch")
      .parquet(root))
 
 
@@ -27,9 +32,15 @@ def write_batches(batched: DataFrame, path: str, by: list[str]) -> None:
 
 def compact(spark: SparkSession, source: str, target: str, files: int,
             compression: str = "zstd") -> None:
-    """Rewrite many small files as ``files`` even ones."""
-    df = spark.read.option("recursiveFileLookup", "true").parquet(source)
-    df.repartition(files).write.mode("overwrite").option("compression", compression).parquet(target)
+    """Rewrite many small files as ``files`` even ones.
+
+    A URL table keeps its ``dataset_name`` partitions, each in up to ``files`` files, and the
+    batch of a row as a column.
+    """
+    df = spark.read.parquet(source)
+    by = [c for c in ("dataset_name",) if c in df.columns]
+    writer = df.repartition(files).write.mode("overwrite").option("compression", compression)
+    (writer.partitionBy(*by) if by else writer).parquet(target)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

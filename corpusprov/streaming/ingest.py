@@ -6,6 +6,8 @@ and replaces it when it is run again, so a batch that fails half way leaves no d
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def _run(stream: DataFrame, each_batch, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint; one that starts anew gets another."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
+
+
 def _urls(stream: DataFrame, url_sql: str) -> DataFrame:
     urls = stream.select(F.expr(url_sql).alias("url")).where(F.col("url").isNotNull())
     return with_domain(urls)
@@ -39,7 +46,8 @@ def ingest_urls(spark: SparkSession, source: str, target: str, checkpoint: str,
     urls = _urls(_file_stream(spark, source, schema, fmt, max_bytes), url_sql)
 
     def save(batch: DataFrame, number: int) -> None:
-        write_url_batch(batch.select("url", "domain"), target, dataset_name, number)
+        write_url_batch(batch.select("url", "domain"), target, dataset_name, number,
+                        writer=_stream_id(spark, checkpoint))
 
     _run(urls, save, checkpoint)
 
@@ -51,13 +59,14 @@ def ingest_counts(spark: SparkSession, source: str, target: str, checkpoint: str
     urls = _urls(_file_stream(spark, source, schema, fmt, max_bytes), url_sql)
 
     def save(batch: DataFrame, number: int) -> None:
-        write_url_batch(domain_counts(batch), target, dataset_name, number)
+        write_url_batch(domain_counts(batch), target, dataset_name, number,
+                        writer=_stream_id(spark, checkpoint))
 
     _run(urls, save, checkpoint)
 
 
 def running_counts(spark: SparkSession, target: str) -> DataFrame:
     """Totals so far, from the partial counts of all batches."""
-    schema = "domain string, url_count bigint, dataset_name string, batch bigint"
+    schema = "domain string, url_count bigint, dataset_name string, writer string, batch bigint"
     parts = spark.read.schema(schema).parquet(target)
     return parts.groupBy("dataset_name", "domain").agg(F.sum("url_count").alias("url_count"))

@@ -83,9 +83,10 @@ def test_unknown_dataset_is_an_error(spark):
     counts = spark.createDataFrame([("a", "x", 1)], SCHEMA)
     pairs = div.pairs_frame(spark, [("a", "nowhere")])
     with pytest.raises(ValueError, match="nowhere"):
-        div.kl_all_pairs(counts, pairs, check_names=True)
+        div.kl_all_pairs(counts, pairs)
     # Without the check the pair is there, with P's mass against epsilon.
-    assert div.kl_all_pairs(counts, pairs).first().kl_divergence == pytest.approx(-math.log(1e-12))
+    unchecked = div.kl_all_pairs(counts, pairs, check_names=False)
+    assert unchecked.first().kl_divergence == pytest.approx(-math.log(1e-12))
 
 
 def test_results_are_kept_and_only_new_pairs_computed(spark, tmp_path):
@@ -106,3 +107,19 @@ def test_hot_domain_is_combined_before_the_shuffle(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan
     assert "SinglePartition" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_pairs_that_share_a_label_stay_apart(spark, tmp_path):
+    rows = [("CC_MAIN_1", "x", 1), ("CC_MAIN_2", "y", 1), ("CC_MAIN_3", "x", 3), ("CC_MAIN_4", "y", 5), ("c", "x", 1)]
+    counts = spark.createDataFrame(rows, SCHEMA)
+    pairs = div.pairs_frame(spark, [(["CC_MAIN_1", "CC_MAIN_2"], ["c"]), (["CC_MAIN_3", "CC_MAIN_4"], ["c"])])
+    got = div.kl_all_pairs(counts, pairs).collect()
+    assert len(got) == 2 and len({r.pair_key for r in got}) == 1 and len({r.pair_id for r in got}) == 2
+    wanted = [brute([("x", a), ("y", b)], [("x", 1)], True) for a, b in ((1, 1), (3, 5))]
+    assert sorted(r.kl_divergence for r in got) == pytest.approx(sorted(wanted))
+    path = str(tmp_path / "results")
+    div.update_results(counts, pairs.limit(1), path)
+    div.update_results(counts, pairs, path)
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(ValueError, match="nowhere"):
+        div.update_results(counts, div.pairs_frame(spark, [("c", "nowhere")]), path)

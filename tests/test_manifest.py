@@ -111,3 +111,10 @@ def test_work_tracking(spark, rows):
     assert rows(man.next_batch(batched, done, ["dataset_name"])) == [("d", 2)]
     assert man.requested_batch(batched, 2).count() == 1
     assert not man.has_batches(man.requested_batch(batched, 9))
+
+
+def test_files_of_unknown_size_are_kept(spark):
+    from corpusprov.operators.manifest import size_batches
+    files = spark.createDataFrame([("g", "a", 5), ("g", "b", None), ("g", "c", 4)], "g string, path string, size bigint")
+    got = {r.path: r.batch for r in size_batches(files, ["g"], target=7).collect()}
+    assert got == {"a": 1, "b": 0, "c": 2}

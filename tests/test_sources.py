@@ -215,3 +215,31 @@ def test_stream_takes_each_file_once(spark, tmp_path, rows):
     assert rows(running_counts(spark, counts)) == [
         ("ds", "site0.co.uk", 3), ("ds", "site1.co.uk", 2), ("ds", "site2.co.uk", 1),
         ("ds", "site3.co.uk", 1), ("ds", "site4.co.uk", 1)]
+
+
+def test_urls_below_the_tenth_row_count(spark):
+    rows = [("plain",)] * 10 + [("https://a.example.com/",)]
+    df = spark.createDataFrame(rows, "page_url string").coalesce(1)
+    assert url_columns(df, "t").first().has_urls
+    assert not url_columns(df, "t", n=10).first().has_urls
+
+
+def test_compacting_keeps_datasets_and_writers_stay_apart(spark, tmp_path):
+    from corpusprov.sources.sinks import compact
+    urls = spark.createDataFrame([("https://a.com/", "a.com")], "url string, domain string")
+    root, small = str(tmp_path / "urls"), str(tmp_path / "small")
+    for writer in ("one", "two"):
+        write_url_batch(urls, root, "d", 1, writer=writer)
+    write_url_batch(urls, root, "e", 1)
+    compact(spark, root, small, 1)
+    got = spark.read.parquet(small).groupBy("dataset_name").count().collect()
+    assert {r["dataset_name"]: r["count"] for r in got} == {"d": 2, "e": 1}
+
+
+def test_files_are_relative_to_the_root_itself(spark, tmp_path):
+    from corpusprov.sources.readers import list_files
+    root = tmp_path / "b"
+    inner = root / "x" / "b"
+    inner.mkdir(parents=True)
+    (inner / "f").write_text("1")
+    assert [r.path for r in list_files(spark, str(root)).collect()] == ["x/b/f"]
