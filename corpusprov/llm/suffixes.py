@@ -84,6 +84,8 @@ def text_anchors(column: pa.Array, length: int):
 
 
 def _range(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each seed. Anchors have low hashes, so these are mixed once more."""
+    h = mixed(h ^ np.uint64(0x5851F42D4C957F2D))
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
@@ -109,6 +111,8 @@ def _asked(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             known = np.sort(order[np.repeat(count > 1, count)])  # twice in the flush already
             first = order[new]
             own = _range(h[first], buckets)
+            order = np.argsort(own, kind="stable")
+            first, count, own = first[order], count[order], own[order]
             at = np.searchsorted(own, np.arange(buckets + 1))
             rows = []
             for b in np.flatnonzero(np.diff(at)).tolist():
@@ -201,8 +205,10 @@ def _surroundings(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             late, first = place[order[~new]], order[new]
             spans = np.zeros(len(late), _SPANS)
             spans["row"], spans["start"], spans["end"] = late["row"], late["at"] - late["lo"], late["at"] - late["hi"] + length
-            first = first[np.argsort(h[first], kind="stable")]
-            at = np.searchsorted(_range(h[first], buckets), np.arange(buckets + 1))
+            own = _range(h[first], buckets)
+            order = np.argsort(own, kind="stable")
+            first, own = first[order], own[order]
+            at = np.searchsorted(own, np.arange(buckets + 1))
             rows = [
                 (b, h[p].tobytes(), place[p].tobytes(), text[p].tobytes(), b"")
                 for b in np.flatnonzero(np.diff(at)).tolist() for p in [first[at[b] : at[b + 1]]]]
