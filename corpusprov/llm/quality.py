@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from corpusprov.llm.arrays import Substrings, lower_ascii, mixed, runs, slices, text_bytes
 
 BITS = 18
+#: Weights are averaged in so many parts.
+PARTS = 16
 _KIND = np.arange(256, dtype=np.uint8)
 _KIND[65:91] = 65
 _KIND[97:123] = 97
@@ -129,13 +131,21 @@ def train(
                     for a in range(0, len(label), batch):
                         b = min(a + batch, len(label))
                         leader.step(idx[at[a] : at[b]], at[a : b + 1] - at[a], label[a:b])
+            parts = np.array_split(leader.w, PARTS) if size else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array([size], pa.int64()), pa.array([leader.w.astype(np.float32).tobytes()], pa.binary())],
-                names=["n", "weights"])
-
-        got = sample.mapInArrow(lead, "n bigint, weights binary").where("n > 0").collect()  # one row a shard
-        total = sum(r["n"] for r in got)
-        weights = sum(np.frombuffer(r["weights"], np.float32) * (r["n"] / total) for r in got).astype(np.float32)
+                [pa.array(range(len(parts)), pa.int32()), pa.array([size] * len(parts), pa.int64()),
+                 pa.array([x.astype(np.float32).tobytes() for x in parts], pa.binary())],
+                names=["part", "n", "weights"])
+
+        def mean(key, table):
+            n = table.column("n").to_numpy().astype(float)
+            each = [np.frombuffer(w, np.float32) for w in table.column("weights").to_pylist()]
+            out = sum(w * (k / n.sum()) for w, k in zip(each, n)).astype(np.float32)
+            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([out.tobytes()], pa.binary())})
+
+        led = sample.mapInArrow(lead, "part int, n bigint, weights binary")
+        got = led.groupBy("part").applyInArrow(mean, "part int, weights binary").collect()  # PARTS rows
+        weights = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(got, key=lambda r: r["part"])])
     return weights
 
 
