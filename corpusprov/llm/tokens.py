@@ -37,7 +37,7 @@ def piece_offsets(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         space, known = flat == 32, _SPACE[flat]
         cut[1 : n - 1] = space[1:-1] & ~known[:-2] & ~known[2:]
         cut[2 : n - 1] &= ~known[: n - 3] | (flat[1 : n - 2] < 128)
-        cut[3 : n - 1] &= ~known[: n - 4] | (flat[2 : n - 2] < 128)
+        cut[3 : n - 1] &= ~known[: max(n - 4, 0)] | (flat[2 : max(n - 2, 2)] < 128)
     if n > 1:
         cut[1:n] |= _LETTER[flat[:-1]] & _MARK[flat[1:]]
     cut[at] = True
