@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusprov.functions.names import basename
-from corpusprov.operators.ordering import number_rows
+from corpusprov.operators.ordering import broadcast_if_small, number_rows
 
 # Default batch size, and the sources that a path list is searched for.
 BATCH_BYTES = 100_000_000_000
@@ -34,6 +34,30 @@ def rule_filter(path: str | Column, prefixes=None, suffix: str = "", excludes=No
     return keep
 
 
+def files_by_rule(manifest: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rules`` with the number and the bytes of the files that each would read.
+
+    A rule takes a path that starts with any of its ``prefixes`` (any path, if it has none),
+    ends with its ``suffix``, which begins with a dot, and holds none of its ``excludes``.
+    Rules without files stay, with zeros; files without a size add no bytes.
+
+    A path has few tails that begin at a dot, so rules are found by equal tails, and what
+    each task finds is added up before its shuffle.
+    """
+    numbered = rules.withColumn("_rule", F.xxhash64(F.to_json(F.struct(*rules.columns))))
+    wanted = numbered.select("_rule", "prefixes", F.col("suffix").alias("_tail"), "excludes")
+    tails = F.expr(
+        "transform(sequence(1, length(path) - length(replace(path, '.', ''))), "
+        "k -> concat('.', substring_index(path, '.', -k)))")
+    spread = manifest.where(F.col("path").contains(".")).select("path", "size", F.explode(tails).alias("_tail"))
+    met = spread.join(broadcast_if_small(wanted), "_tail").where(
+        ((F.size("prefixes") == 0) | F.exists("prefixes", lambda p: F.col("path").startswith(p)))
+        & ~F.exists("excludes", lambda x: F.col("path").contains(x)))
+    found = met.groupBy("_rule").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
+    return numbered.join(found, "_rule", "left").drop("_rule").withColumns({
+        "n_files": F.coalesce("n_files", F.lit(0)), "bytes": F.coalesce("bytes", F.lit(0))})
+
+
 def path_lines(lines: DataFrame, line: str = "value", pattern: str | None = None) -> DataFrame:
     """Trimmed path lines without blanks and ``#`` comments, with their base name."""
     clean = lines.withColumn(line, F.trim(F.col(line)))

@@ -57,11 +57,15 @@ def _thresholds() -> str:
 
 
 def _rule_values() -> str:
-    """The rules' output names and suffixes as literal rows."""
+    """The rules' output names, suffixes, prefixes and excludes as literal rows."""
+    def texts(values) -> str:
+        return "CAST([" + ", ".join(f"'{v}'" for v in values) + "] AS VARCHAR[])"
+
     rows = []
     for r in all_rules():
         variant = "" if r.variant == "default" else f"_{r.variant}"
-        rows.append(f"('{r.dataset.split('/')[-1]}_urls{variant}', '{r.suffix}')")
+        name = f"{r.dataset.split('/')[-1]}_urls{variant}"
+        rows.append(f"('{name}', '{r.suffix}', {texts(r.prefixes)}, {texts(r.excludes)})")
     return ", ".join(rows)
 
 
@@ -103,6 +107,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "scan_parquet_urls": "SELECT url FROM pages WHERE url IS NOT NULL",
         "url_domain_table": w(["urls"], "SELECT url, domain FROM urls"),
+        "read_ndjson": "SELECT * FROM conversations",
+        "read_csv": "SELECT * FROM pages",
+        "csv_round_trip": "SELECT * FROM documents",
+        "list_manifest": "SELECT DISTINCT o_orderstatus AS folder, true AS filled FROM orders",
+        "compacted": w(["urls"], """
+            SELECT url, domain, 'lists' AS writer, 'pages' AS dataset_name,
+                   CASE WHEN domain < 'm' THEN 1 ELSE 2 END AS batch FROM urls"""),
+        "url_stream": w(["urls"], "SELECT url, domain, 'pages' AS dataset_name FROM urls"),
         "extract_domain_sql": w(["lines"], "SELECT url, host, domain FROM lines"),
         "dataset_slice": w(["urls"], "SELECT dataset_name, url, domain FROM urls "
                                 "WHERE dataset_name IN ('pages_de', 'pages_fr')"),
@@ -206,6 +218,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT host AS domain, 1 AS n FROM urls WHERE dataset_name = 'pages_en'",
             "SELECT host AS domain, 1 AS n FROM urls WHERE dataset_name <> 'pages_en'")),
         "kl_all_pairs": w(["members", "unified"], _kl_pairs("unified", True, 9)),
+        "kl_resume": w(["members", "unified"], _kl_pairs("unified", True, 9)),
         "kl_all_pairs_hosts": w(["members", "unified_hosts"],
                                 _kl_pairs("unified_hosts", True, 9)),
         "kl_all_pairs_unmerged": w(["members", "unified_hosts"],
@@ -311,11 +324,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM manifest WHERE (path LIKE 'data/c4/%' OR path LIKE 'data/cc\\_news/%'
                    ESCAPE '\\') AND path LIKE '%.json.gz' AND path NOT LIKE '%/src1/%'"""),
         "manifest_by_rule": w(["manifest"], f"""
-            SELECT output, suffix, n_files, bytes
-            FROM (VALUES {_rule_values()}) rules(output, suffix)
-            JOIN (SELECT regexp_extract(path, '(\\.[a-z.]+)$', 1) AS suffix,
-                         count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes
-                  FROM manifest GROUP BY 1) USING (suffix)"""),
+            , rules AS (SELECT * FROM (VALUES {_rule_values()}) r(output, suffix, prefixes, excludes)),
+            met AS (SELECT output, size FROM rules, manifest
+                    WHERE ends_with(path, suffix)
+                      AND (len(prefixes) = 0
+                           OR len(list_filter(prefixes, lambda p: starts_with(path, p))) > 0)
+                      AND len(list_filter(excludes, lambda x: contains(path, x))) = 0)
+            SELECT r.output, r.suffix, count(m.output) AS n_files,
+                   CAST(coalesce(sum(m.size), 0) AS BIGINT) AS bytes
+            FROM rules r LEFT JOIN met m USING (output) GROUP BY 1, 2"""),
         "manifest_grep": w(["manifest"], """
             SELECT dataset_name, path, split_part(path, '/', -1) AS file_name FROM manifest
             WHERE regexp_matches(path, '/c4|/cc_|/falcon-refinedweb')"""),
@@ -324,6 +341,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY path) AS rn
                   FROM manifest)"""),
         "size_batches": w(["batched"], "SELECT * FROM batched"),
+        "batch_lists": w(["batched"], "SELECT * FROM batched"),
         "batch_stats": w(["batched"], """
             SELECT dataset_name, batch, count(*) AS n_files, round(sum(size) / 1e9, 9) AS gb
             FROM batched GROUP BY 1, 2"""),

@@ -428,12 +428,8 @@ def manifest_filter(spark, sf):
 @query
 def manifest_by_rule(spark, sf):
     """Files of the whole manifest that each extraction rule would read."""
-    rules = rules_frame(spark)
-    suffixes = fx.manifest(spark, sf).withColumn(
-        "suffix", F.regexp_extract("path", r"(\.[a-z.]+)$", 1))
-    per_suffix = suffixes.groupBy("suffix").agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
-    return rules.select("output", "suffix").join(per_suffix, "suffix")
+    found = man.files_by_rule(fx.manifest(spark, sf), rules_frame(spark))
+    return found.select("output", "suffix", "n_files", "bytes")
 
 
 @query

@@ -44,7 +44,9 @@ def compact(spark: SparkSession, source: str, target: str, files: int,
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    """White space at either end of a value is kept."""
+    df.write.mode("overwrite").csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: str) -> None:

@@ -118,3 +118,14 @@ def test_files_of_unknown_size_are_kept(spark):
     files = spark.createDataFrame([("g", "a", 5), ("g", "b", None), ("g", "c", 4)], "g string, path string, size bigint")
     got = {r.path: r.batch for r in size_batches(files, ["g"], target=7).collect()}
     assert got == {"a": 1, "b": 0, "c": 2}
+
+
+def test_files_of_each_rule(spark):
+    files = spark.createDataFrame(
+        [("data/a.jsonl.gz", 1), ("data/b.x/c.jsonl.gz", 2), ("data/noisy_d.jsonl.gz", 4),
+         ("other/e.gz", 8), ("data/plain", 16), ("data/f.jsonl.gz", None)], "path string, size bigint")
+    rules = spark.createDataFrame(
+        [("lines", ["data/"], ".jsonl.gz", ["noisy_"]), ("packed", [], ".gz", []), ("none", ["x/"], ".gz", [])],
+        "output string, prefixes array<string>, suffix string, excludes array<string>")
+    got = {r.output: (r.n_files, r.bytes) for r in man.files_by_rule(files, rules).collect()}
+    assert got == {"lines": (3, 3), "packed": (5, 15), "none": (0, 0)}
