@@ -50,7 +50,7 @@ def line_links(lines: DataFrame, edits: int = 2) -> DataFrame:
     kept = keys.join(shared.hint("shuffle_hash"), "k").select("k", id_of.alias("id"), indexed.alias("indexed"))
     kept = stored(kept.distinct(), "line-keys")
     ids = kept.select("id").distinct()
-    texts = stored(sieved(lines, "id", ids).where("_likely").drop("_likely").join(ids, "id"), "line-texts")
+    texts = stored(sieved(lines, "id", ids).where("_likely").drop("_likely").join(ids, "id"), "line-texts", "zstd")
     met = kept.join(texts, "id")
     index = met.where("indexed").select("k", F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("size").alias("size_a"))
     probe = met.select("k", F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("size").alias("size_b"))
@@ -80,7 +80,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = MIN_CHARS) ->
     first = F.struct("doc", "_row", "at")
     # ids follow first occurrences only loosely; they need to be unique
     distinct = slim.groupBy("digest").agg(F.min(first).alias("first"), F.first("line").alias("line"), F.count(F.lit(1)).alias("n"))
-    distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
+    distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "lines", "zstd")
     classes = components(line_links(distinct.select("id", "line"), edits), "line-classes")
     known = distinct.select("id", "digest", "first", "n").join(
         classes.withColumnRenamed("node", "id"), "id", "left")
