@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from corpusprov.llm.arrays import Substrings, runs, slices
 
 GRAMS, WORDS = 1 << 17, 1 << 18
+#: Bytes of the texts whose letters are held at once, and of those that Viterbi takes together,
+#: which holds only scores of words; a longer text is taken alone.
+LETTER_BYTES, VITERBI_BYTES = 1 << 19, 6 << 20
 UNKNOWN = "und"
 
 #: First code point and script; a script holds up to the next entry.
@@ -84,7 +87,7 @@ def _counted(docs: DataFrame, langs: list[str]) -> DataFrame:
         kinds = {"gram": GRAMS, "word": WORDS, "script": len(_NAMES)}
         out = {k: np.zeros((len(langs), n), np.float32) for k, n in kinds.items()}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text", LETTER_BYTES):
                 x = Letters(part.column("text"))
                 lang = np.array([index[v] for v in part.column("lang").to_pylist()], np.int64)
                 own = np.repeat(lang, np.diff(x.first))
@@ -167,6 +170,22 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     return label
 
 
+def _word_scores(part: pa.RecordBatch, model: Model) -> tuple[np.ndarray, ...]:
+    """Scores of the words of ``_text`` for each language, the words' letters, their start and
+    end in their texts, and each text's number of words."""
+    found = []
+    for piece in slices(part, "_text", LETTER_BYTES):
+        x = Letters(piece.column("_text"))
+        size = np.diff(x.first)
+        scores = np.zeros((0, len(model.langs)), np.float32)
+        if len(x.start):
+            scores = np.add.reduceat(model.gram[x.gram], x.gram_start, axis=0) + model.word[x.word]
+            scores[~model.allowed[x.script]] = -1e4
+        text = np.repeat(x.at[:-1], size)
+        found.append((scores, x.letters, x.start - text, x.end - text, size))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
 def identify(docs: DataFrame, model: Model | None, penalty: float = 12.0, spans: bool = False) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to documents, and spans as (start, end, lang) if asked.
 
@@ -183,26 +202,23 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 12.0, spans:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for part in slices(batch, "_text"):
-                x = Letters(part.column("_text"))
+            for part in slices(batch, "_text", VITERBI_BYTES):
                 pred, share, found = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), [[] for _ in range(part.num_rows)]
-                if model and len(x.start):
-                    scores = np.add.reduceat(model.gram[x.gram], x.gram_start, axis=0) + model.word[x.word]
-                    scores[~model.allowed[x.script]] = -1e4
-                    got = viterbi(scores, x.first, penalty)
+                if model:
+                    scores, size, start, end, words = _word_scores(part, model)
+                    got = viterbi(scores, np.r_[0, np.cumsum(words)], penalty)
                     n = len(model.langs)
-                    text = np.repeat(np.arange(part.num_rows), np.diff(x.first))
-                    letters = np.bincount(text * n + got, x.letters, part.num_rows * n).reshape(-1, n)
+                    text = np.repeat(np.arange(part.num_rows), words)
+                    letters = np.bincount(text * n + got, size, part.num_rows * n).reshape(-1, n)
                     top = letters.argmax(1)
                     total = letters.sum(1)
                     share = np.where(total > 0, letters.max(1) / np.maximum(total, 1), 0.0)
                     pred = [model.langs[k] if t else UNKNOWN for k, t in zip(top, total)]
-                    if spans:
+                    if spans and len(got):
                         new = np.flatnonzero(np.r_[True, (got[1:] != got[:-1]) | (text[1:] != text[:-1])])
                         last = np.r_[new[1:], len(got)] - 1
                         for a, b in zip(new.tolist(), last.tolist()):
-                            k = int(text[a])
-                            found[k].append({"start": int(x.start[a] - x.at[k]), "end": int(x.end[b] - x.at[k]), "lang": model.langs[got[a]]})
+                            found[text[a]].append({"start": int(start[a]), "end": int(end[b]), "lang": model.langs[got[a]]})
                 out = [part.column("_row"), pa.array(pred, pa.string()), pa.array(share)]
                 out += [pa.array(found, pa.list_(struct))] * spans
                 yield pa.RecordBatch.from_arrays(out, names=["_row", *added])
