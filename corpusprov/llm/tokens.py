@@ -11,7 +11,7 @@ import pyarrow as pa
 from corpusprov.llm.arrays import text_bytes
 
 #: Pieces whose ids a Python worker keeps; beyond that it starts anew, so memory is bounded.
-KEPT_PIECES = 1_200_000
+KEPT_PIECES = 500_000
 #: Longer pieces are encoded but not kept.
 KEPT_BYTES = 64
 
