@@ -6,6 +6,7 @@ from corpusprov.functions.domains import (
     register_domain_functions,
     url_host_sql,
     with_domain,
+    with_host,
 )
 from corpusprov.functions.names import (
     basename,
@@ -26,7 +27,7 @@ from corpusprov.functions.urls import (
 )
 
 __all__ = [
-    "SuffixRules", "domain_sql", "register_domain_functions", "url_host_sql", "with_domain",
+    "SuffixRules", "domain_sql", "register_domain_functions", "url_host_sql", "with_domain", "with_host",
     "basename", "clean_name", "fold_crawl_parent", "last_part", "output_name", "pair_key",
     "snapshot_monday", "snapshot_part", "year_month_date",
     "URL_PATTERN", "dict_text_url", "json_url", "path_facets",

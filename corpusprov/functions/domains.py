@@ -248,6 +248,17 @@ def _bound_domain(df: DataFrame, host: str, domain: str, rules: SuffixRules | No
     return bind(df, **tails).withColumn(domain, F.expr(case)).drop(*tails)
 
 
+def with_host(df: DataFrame, url: str = "url", strict_parity: bool = False,
+              host: str = "host") -> DataFrame:
+    """Add the host column to a table of URLs (see ``url_host_sql``).
+
+    The host is cut out in two bound steps, at half the cost of the one regular expression
+    that ``url_host_sql`` needs.
+    """
+    cut = bind(df, _authority=F.expr(_authority_sql(f"`{url}`")))
+    return bind(cut, **{host: F.expr(_authority_host("_authority", strict_parity))}).drop("_authority")
+
+
 def with_domain(
     df: DataFrame,
     url: str = "url",
@@ -256,14 +267,9 @@ def with_domain(
     host: str = "host",
     domain: str = "domain",
 ) -> DataFrame:
-    """Add host and registered-domain columns to a table of URLs (see ``domain_sql``).
-
-    The host is cut out in two bound steps, at half the cost of the one regular expression
-    that ``url_host_sql`` needs.
-    """
-    cut = bind(df, _authority=F.expr(_authority_sql(f"`{url}`")))
-    found = bind(cut, **{host: F.expr(_authority_host("_authority", strict_parity))})
-    return _bound_domain(found, host, domain, rules, strict_parity).drop("_authority")
+    """Add host and registered-domain columns to a table of URLs (see ``domain_sql``)."""
+    found = with_host(df, url, strict_parity, host)
+    return _bound_domain(found, host, domain, rules, strict_parity)
 
 
 def host_to_domain(df: DataFrame, host: str, domain: str = "domain",

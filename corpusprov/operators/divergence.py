@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusprov.functions.names import pair_key
-from corpusprov.operators.ordering import broadcast_if_small
+from corpusprov.operators.ordering import broadcast_if_small, materialized
 from corpusprov.sources.sinks import append_results, read_results
 
 # Fixed value: stands in for the probability of a domain that Q does not have.
@@ -130,8 +130,10 @@ def kl_all_pairs(counts: DataFrame, pairs: DataFrame, merge: bool = True,
 
     ``counts`` is ``(dataset_name, domain, url_count)``, best summed per dataset and domain
     already, since a dataset's rows are repeated for every pair that uses it. Unknown names
-    are errors unless ``check_names`` is off, which takes them as empty.
+    are errors unless ``check_names`` is off, which takes them as empty. The pairs are worked
+    out once and read from the checkpoint folder.
     """
+    pairs = materialized(pairs.select("sources", "targets"))
     members = pair_members(pairs)
     if check_names:
         require_known(members, counts)

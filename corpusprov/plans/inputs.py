@@ -35,17 +35,21 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").withColumn("url_host_name", host)
 
 
-def lines(spark: SparkSession, sf: str) -> DataFrame:
+def line_urls(spark: SparkSession, sf: str) -> DataFrame:
     """A derived corpus: one URL per line item, dated unless the item was returned."""
     part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     dated = F.concat(
         F.lit("/"), F.translate(F.to_date("l_shipdate").cast("string"), "-", "/"), F.lit("/sec"),
         F.col("l_linenumber").cast("string"), F.lit("/"), part)
     path = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("/p/"), part)).otherwise(dated)
-    raw = _lines(spark, sf).select(
+    return _lines(spark, sf).select(
         F.concat(F.lit("https://"), F.col("url_host_name"), path).alias("url"),
         F.concat(F.lit("lines_"), F.lower("l_linestatus")).alias("dataset_name"))
-    return with_domain(raw)
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The derived corpus with hosts and domains."""
+    return with_domain(line_urls(spark, sf))
 
 
 def _crawl() -> F.Column:
@@ -89,7 +93,7 @@ def skewed_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def facets(spark: SparkSession, sf: str) -> DataFrame:
-    return path_facets(lines(spark, sf))
+    return path_facets(line_urls(spark, sf))
 
 
 def dates(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprov.functions.domains import host_to_domain, register_domain_functions
+from corpusprov.functions.domains import host_to_domain, register_domain_functions, with_host
 from corpusprov.functions.names import clean_name, output_name, pair_key
 from corpusprov.functions.urls import dict_text_url, json_url
 from corpusprov.operators import concentration as conc
@@ -63,7 +63,7 @@ def url_domain_table(spark, sf):
 @query
 def extract_domain_sql(spark, sf):
     register_domain_functions(spark)
-    return fx.lines(spark, sf).select(
+    return fx.line_urls(spark, sf).select(
         "url", F.expr("url_host(url)").alias("host"), F.expr("extract_domain(url)").alias("domain"))
 
 
@@ -75,7 +75,7 @@ def dataset_slice(spark, sf):
 
 @query
 def like_urls(spark, sf):
-    return fx.lines(spark, sf).where(F.col("url").like("%.s1.co.uk%")).select("url")
+    return fx.line_urls(spark, sf).where(F.col("url").like("%.s1.co.uk%")).select("url")
 
 
 @query
@@ -255,7 +255,7 @@ def _domain_level(spark, sf):
 
 
 def _host_level(spark, sf, merge=True):
-    by_host = fx.lines(spark, sf).drop("domain").withColumnRenamed("host", "domain")
+    by_host = with_host(fx.line_urls(spark, sf), host="domain")
     return cnt.unify_counts(by_host, fx.hosts(spark, sf), merge)
 
 
