@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -182,6 +183,19 @@ def test_languages_of_documents_and_spans(spark, odd, none):
     assert language.learn(none) is None and language.identify(odd, None).where("lang_pred != 'und'").count() == 0
 
 
+def test_word_scores_are_the_same_in_any_slices(monkeypatch):
+    rnd = np.random.default_rng(7)
+    sizes = (language.GRAMS, language.WORDS, len(language._NAMES))
+    model = language.Model(["a", "b"], *[rnd.random((2, n)) * 9 for n in sizes])
+    texts = ["one two", None, "", "12 !", "drei vier fünf", "шесть", "x" * 50]
+    part = pa.record_batch([pa.array(texts)], names=["_text"])
+    whole = language._word_scores(part, model)
+    monkeypatch.setattr(language, "LETTER_BYTES", 8)
+    for a, b in zip(whole, language._word_scores(part, model)):
+        assert np.array_equal(a, b)
+    assert whole[4].tolist() == [2, 0, 0, 0, 3, 1, 1]
+
+
 def test_viterbi_equals_the_best_path():
     rnd = np.random.default_rng(6)
     scores, first = rnd.normal(size=(9, 3)).astype(np.float32) * 3, np.array([0, 5, 5, 9])
