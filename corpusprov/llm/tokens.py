@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,18 +58,45 @@ class Encoder(dict):
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def learn(self, pieces: list[bytes]) -> None:
-        """Encode new pieces of one space and letters in one go: each is one word of the text."""
+        """Encode new pieces of one space and letters in one go, and keep those that are one word.
+
+        A tokenizer that changes texts first may make several words of such a piece; these are
+        encoded each on its own, and so are all pieces of a call where a token or a word isn't
+        within one piece.
+        """
         new = [p for p in pieces if p not in self and len(p) <= KEPT_BYTES]
         if len(self) + len(new) > KEPT_PIECES:
             self.clear()
         words = [p for p in new if p[:1] == b" " and p[1:].decode().isalpha()]
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            encoded = self.tokenizer.encode(b"".join(part).decode(), add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array(encoded.word_ids), np.arange(len(part) + 1)) * 4
-            ends = ends.tolist()
+        for plain in (True, False):
+            some = [p for p in words if p.isascii() == plain]
+            for i in range(0, len(some), 4096):
+                self._learn(some[i : i + 4096], plain)
+
+    def _learn(self, part: list[bytes], plain: bool) -> None:
+        texts = [p.decode() for p in part]
+        encoded = self.tokenizer.encode("".join(texts), add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4").tobytes()
+        word = np.array(encoded.word_ids, np.float64)  # NaN for none
+        if plain and len(word) and word[-1] == len(part) - 1:
+            # ASCII letters are a word at least, so here each piece is one
+            ends = (np.searchsorted(word, np.arange(len(part) + 1)) * 4).tolist()
             self.update((p, ids[a:b]) for p, a, b in zip(part, ends, ends[1:]))
+            return
+        place = np.fromiter(chain.from_iterable(encoded.offsets), np.int64, 2 * len(word)).reshape(-1, 2)
+        start = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
+        owner = np.searchsorted(start, place[:, 0], side="right") - 1
+        inside = (place[:, 0] < place[:, 1]) & (place[:, 1] <= start[np.minimum(owner + 1, len(part))]) & (word >= 0)
+        first = np.r_[True, word[1:] != word[:-1]][: len(word)]
+        inside[1:] &= (owner[1:] == owner[:-1]) | (first[1:] & (owner[1:] > owner[:-1]))
+        one = np.zeros(len(part), bool)
+        if inside.all():
+            one = np.bincount(owner[first], minlength=len(part)) == 1
+            ends = (np.searchsorted(owner, np.arange(len(part) + 1)) * 4).tolist()
+            self.update((p, ids[a:b]) for p, a, b, k in zip(part, ends, ends[1:], one.tolist()) if k)
+        alone = [texts[k] for k in np.flatnonzero(~one).tolist()]
+        for text, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False)):
+            self[text.encode()] = np.array(e.ids, "<u4").tobytes()
 
     def __missing__(self, piece: bytes) -> bytes:
         encoded = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from corpusprov.llm import decontaminate, jaccard, language, lines, packing, planes, quality, shards, suffixes, topk
 from corpusprov.llm.folders import stored
+from corpusprov.llm.tokens import Encoder
 
 DOCS = "doc_id bigint, text string"
 
@@ -170,6 +171,16 @@ def test_planes_round_trip(spark, odd, bits):
     assert len(got) == 8
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_letters_that_become_several_words(name):
+    path = public_tokenizers.path(name)
+    tokenizer, encoder = Tokenizer.from_file(path), Encoder(path)
+    texts = ["an alpha \u0130stanbul beta gamma", "x a\u09dfb c\u095cd \u0958 end", None, "", "le na\u00efve caf\u00e9 plain words"]
+    ids, at = encoder.ids(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 def test_languages_of_documents_and_spans(spark, odd, none):
     a, b = "the house and the garden over there", "das haus und der garten dort drüben"
     rows = [(i, a if i % 2 else b, "en" if i % 2 else "de") for i in range(20)]
