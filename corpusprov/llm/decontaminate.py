@@ -75,9 +75,12 @@ def _hashed(windows: dict[bytes, list[str]], size: int) -> tuple[np.ndarray, np.
 
 
 def _found(docs: DataFrame, known: dict[int, dict[bytes, list[str]]], kept: list[str]) -> DataFrame:
-    """One pass over ``docs``; ``kept`` columns are carried along."""
+    """One pass over ``docs``; ``kept`` columns are carried along.
+
+    Spans also hold the numbers of their first word and of the word after their last.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(known)
-    struct = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    struct = pa.struct([(c, pa.int64()) for c in ("start", "end", "first", "last")])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {n: _hashed(w, n) for n, w in sent.value.items()}
@@ -100,9 +103,10 @@ def _found(docs: DataFrame, known: dict[int, dict[bytes, list[str]]], kept: list
                 hits = np.r_[0, np.cumsum(hit)][words.first]
                 a, b = runs(hit, words.first)
                 owner, spans = words.text[a] if len(a) else a, {}
-                for k, x, y in zip(owner.tolist(), words.start[a].tolist(), words.end[b - 1].tolist()):
-                    base = int(words.at[k])
-                    spans.setdefault(k, []).append({"start": x - base, "end": y - base})
+                places = (owner, words.start[a], words.end[b - 1], a, b)
+                for k, x, y, i, j in zip(*(p.tolist() for p in places)):
+                    base, word = int(words.at[k]), int(words.first[k])
+                    spans.setdefault(k, []).append({"start": x - base, "end": y - base, "first": i - word, "last": j - word})
                 names = [sorted(items.get(k, ())) for k in range(part.num_rows)]
                 n_hit = np.diff(hits)
                 out = [part.column(c) for c in kept] + [
@@ -113,7 +117,7 @@ def _found(docs: DataFrame, known: dict[int, dict[bytes, list[str]]], kept: list
                 ]
                 yield pa.RecordBatch.from_arrays(out, names=fields)
 
-    tail = HITS.split(", ", 1)[1]
+    tail = HITS.split(", ", 1)[1].replace("end:bigint", "end:bigint,first:bigint,last:bigint")
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + ", " + tail
     fields = [*kept, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
@@ -147,7 +151,7 @@ def benchmark_hits(
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     parts = [item_windows(p, n) for p in benchmark_parts(benchmark, part_bytes)]
     if len(parts) == 1:
-        return _found(plain, parts[0], kept)
+        return _found(plain, parts[0], kept).withColumn("spans", _places("spans"))
     # equal rows have equal hits, so a digest of the text stands for it
     marked = plain.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     passes = [_found(marked, p, ["doc_id", "digest"]).withColumn("part", F.lit(k)) for k, p in enumerate(parts)]
@@ -162,10 +166,12 @@ def benchmark_hits(
     )
 
     def union_spans(spans: F.Column) -> F.Column:
+        # by word numbers, so that spans of neighbouring words are one, as in a single pass
         def add(acc, s):
             last = F.element_at(acc, -1)
-            joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-            return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]),
+            joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"),
+                              last["first"].alias("first"), F.greatest(last["last"], s["last"]).alias("last"))
+            return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["last"] >= s["first"]),
                           F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))
                           ).otherwise(F.concat(acc, F.array(s)))
         return F.aggregate(spans, F.slice(spans, 1, 0), add)
@@ -174,16 +180,15 @@ def benchmark_hits(
     joined = merged.withColumn("spans", union_spans(F.col("spans"))).withColumnRenamed("doc_id", "id").join(
         texts.withColumnRenamed("digest", "d"),
         F.col("digest").eqNullSafe(F.col("d")) & F.col("id").eqNullSafe(F.col("doc_id")))
-    hit_words = F.aggregate(
-        "spans", F.lit(0).cast("long"),
-        lambda acc, s: acc + F.regexp_count(
-            F.translate(F.substring(F.hex(F.encode("text", "utf-8")), s["start"].cast("int") * 2 + 1,
-                                    (s["end"] - s["start"]).cast("int") * 2), "ABCDEF", "abcdef"),
-            F.lit("(?:(?:3[0-9]|4[1-9a-f]|5[0-9a]|6[1-9a-f]|7[0-9a]|[89a-f].))+")))
+    hit_words = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"])
     return joined.select(
         *kept, "n_words", hit_words.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"), "items", "spans")
+        (F.size("spans") > 0).alias("contaminated"), "items", _places("spans").alias("spans"))
+
+
+def _places(spans: str) -> F.Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

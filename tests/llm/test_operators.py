@@ -94,6 +94,22 @@ def test_windows_in_one_pass_or_several(spark, odd):
     assert decontaminate.benchmark_hits(odd, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_windows_of_several_passes_are_those_of_one(spark):
+    passage = "One, two, three. four -b 5, caf\u00e9; six-seven, EIGHT. nine, ten"
+    docs = spark.createDataFrame(
+        [(1, f"x, {passage}. y"), (2, "so, few. few, WORDS -b other"), (2, "so, few. few, WORDS -b other"), (None, f"\u00e9, {passage}"), (5, None)], DOCS)
+    items = spark.createDataFrame([(1, passage), (2, "so, few"), (3, "few, words"), (4, "three, FOUR. -b")], "item_id bigint, text string")
+
+    def found(part_bytes):
+        got = decontaminate.benchmark_hits(docs, items, part_bytes=part_bytes)
+        return got.schema["spans"].dataType, sorted(map(repr, got.collect()))
+
+    assert len(decontaminate.benchmark_parts(items, 10)) > 1
+    assert found(10) == found(1 << 20)
+    hits = {r.doc_id: r.n_hit for r in decontaminate.benchmark_hits(docs, items, part_bytes=10).collect()}
+    assert hits == {1: 12, 2: 4, None: 12, 5: 0}
+
+
 def test_shards_are_even_and_copies_stay_together(spark, odd):
     rows = [(i, f"text {i}" if i % 3 else f"copy {i // 30}") for i in range(300)]
     got = shards.shard_documents(spark.createDataFrame(rows, DOCS), shards=7).collect()
