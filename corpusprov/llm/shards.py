@@ -1,16 +1,19 @@
 """Assign documents to shards by balanced label propagation, with DataFrame functions only.
 
 Linked documents start on hashed shards. In each round every document looks at the shards
-of its groups' members (itself included) and asks to move to the commonest; of the moves
-into a shard, those with the most neighbours there are granted first, as far as its quota
-has room. Documents without links then fill what room is left, so that row counts differ by
-one at most.
+of its groups' members (itself included) and asks to move to the commonest. Moves are
+granted as far as a shard's quota has room, where departures count, so full shards swap
+equal numbers; those with the most neighbours go first. A shard that refused moves gets no
+votes from elsewhere until no other move is left. Rounds end when none is granted at all.
+Documents without links then fill what room is left, so that row counts differ by one at
+most.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,43 +33,87 @@ def _sums(df: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def propagate(members: DataFrame, quotas: list[int], rounds: int = 4) -> DataFrame:
+def grants(asked: np.ndarray, room: list[int]) -> np.ndarray:
+    """How many of the moves asked for (from by to) to grant, so that no shard outgrows its room.
+
+    Equal numbers in both directions always go; of the rest, moves into a shard beyond its
+    room and its departures are cut in proportion until all fit.
+    """
+    both = np.minimum(asked, asked.T)
+    rest = asked - both
+    cut = True
+    while cut:
+        cut = False
+        for to, free in enumerate(room):
+            over = int(rest[:, to].sum() - rest[to].sum()) - free
+            if over > 0:
+                upto = np.cumsum(rest[:, to])
+                left = upto * (int(upto[-1]) - over) // int(upto[-1])
+                rest[:, to], cut = np.diff(left, prepend=0), True
+    return both + rest
+
+
+def propagate(members: DataFrame, quotas: list[int], rounds: int | None = None) -> DataFrame:
     """``row`` and ``shard`` of every row of ``members`` (``row``, ``grp``).
 
     A row may be in several groups. Quotas hold for the rows that have links; a hashed
     start above a quota only shrinks. Equal counts go to the shard that hashes lowest with
-    the group, which is the same for all its members.
+    the group, which is the same for all its members. Without ``rounds`` it goes on until no
+    move is granted, or until moves bring no more members together, as may be where rows
+    are in several groups.
     """
     shards = len(quotas)
     labels = stored(
         members.select("row").distinct().withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")),
         "labels")
-    for _ in range(rounds):
+    closed: set[int] = set()
+    worth, moves, done = -1, False, 0
+    while rounds is None or done < rounds:
         room = [max(0, q - n) for q, n in zip(quotas, _sums(labels, shards))]
-        near = members.join(labels, "row").groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
+        placed = members.join(labels, "row").select("row", "grp", F.col("shard").alias("own"))
+        near = stored(
+            placed.groupBy("grp", F.col("own").alias("shard")).agg(F.count(F.lit(1)).alias("n")), "near")
         # at most ``shards`` rows for each group, however many members it has
         votes = (
-            members.join(near, "grp").groupBy("row", "shard")
+            placed.join(near, "grp")
+            .where((F.col("shard") == F.col("own")) | ~F.col("shard").isin(sorted(closed)))
+            .groupBy("row", "own", "shard")
             .agg(F.sum("n").alias("n"), F.min(F.xxhash64("grp", "shard")).alias("tie")))
-        best = votes.groupBy("row").agg(F.max(F.struct("n", -F.col("tie"), "shard")).alias("best"))
+        best = votes.groupBy("row", "own").agg(F.max(F.struct("n", -F.col("tie"), "shard")).alias("best"))
         asks = (
-            labels.join(best, "row")
-            .select("row", "shard", F.col("best.shard").alias("to"), F.floor(F.log2("best.n")).alias("gain"),
-                    F.pmod(F.xxhash64("row", F.lit(7)), F.lit(PORTIONS)).alias("portion"))
-            .where(F.col("to") != F.col("shard")))
+            best.select("row", "own", F.col("best.shard").alias("to"), F.floor(F.log2("best.n")).alias("gain"),
+                        F.pmod(F.xxhash64("row", F.lit(7)), F.lit(PORTIONS)).alias("portion"))
+            .where(F.col("to") != F.col("own")))
         asks = stored(asks, "moves")
-        # a row for each shard, gain and portion
-        order = Window.partitionBy("to").orderBy(F.desc("gain"), "portion")
-        granted = (
-            asks.groupBy("to", "gain", "portion").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("upto", F.sum("n").over(order))
-            .where(F.col("upto") <= F.get(_numbers(room), F.col("to")))
-            .select("to", "gain", "portion"))
-        moved = asks.join(F.broadcast(granted), ["to", "gain", "portion"]).select("row", "to")
+        asked = np.zeros((shards, shards), np.int64)
+        for r in asks.groupBy("own", "to").count().collect():  # at most a row for two shards
+            asked[r[0], r[1]] = r[2]
+        allowed = grants(asked, room)
+        refused = {s for s in range(shards) if allowed[:, s].sum() < asked[:, s].sum()}
+        if not allowed.any():
+            if refused:
+                closed |= refused
+            elif closed and moves:
+                closed, moves = set(), False
+            else:
+                break
+            continue
+        together = near.agg(F.sum(F.col("n") * F.col("n"))).first()[0]
+        if together <= worth:
+            break
+        worth, moves, closed, done = together, True, closed | refused, done + 1
+        # a row for two shards, gain and portion; one portion of two shards may be granted in part
+        order = Window.partitionBy("own", "to").orderBy(F.desc("gain"), "portion")
+        limit = F.get(_numbers(allowed.ravel().tolist()), F.col("own") * shards + F.col("to"))
+        portions = (
+            asks.groupBy("own", "to", "gain", "portion").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("left", limit - F.sum("n").over(order) + F.col("n")).where("left > 0"))
+        going = asks.join(F.broadcast(portions), ["own", "to", "gain", "portion"])
+        within = Window.partitionBy("own", "to", "gain", "portion").orderBy("row")
+        part = going.where("left < n").withColumn("at", F.row_number().over(within)).where("at <= left")
+        moved = going.where("left >= n").select("row", "to").unionByName(part.select("row", "to"))
         labels = stored(
             labels.join(moved, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")), "labels")
-        if moved.isEmpty():
-            break
     return labels
 
 
@@ -76,7 +123,7 @@ def equal_texts(rows: DataFrame) -> DataFrame:
     return rows.join(many.select("digest"), "digest").select("row", F.col("digest").alias("grp"))
 
 
-def shard_rows(rows: DataFrame, members: DataFrame, shards: int, rounds: int = 4) -> DataFrame:
+def shard_rows(rows: DataFrame, members: DataFrame, shards: int, rounds: int | None = None) -> DataFrame:
     """Add ``shard`` and ``slot`` to ``rows`` (with a unique ``row``): counts differ by one at most.
 
     A group with more members than a shard has places is split over several.
@@ -98,7 +145,7 @@ def shard_rows(rows: DataFrame, members: DataFrame, shards: int, rounds: int = 4
     return rows.join(kept.unionByName(filled), "row")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of ``docs``.
 
     Null texts have size 8 and no group; empty texts are equal to each other. Null and

@@ -125,6 +125,23 @@ def test_shards_are_even_and_copies_stay_together(spark, odd):
     assert len(shards.shard_documents(odd, shards=3).collect()) == 8
 
 
+def test_copies_stay_together_where_all_rows_have_some(spark):
+    rows = [(i, f"copy {i // 3}") for i in range(600)]
+    got = shards.shard_documents(spark.createDataFrame(rows, DOCS), shards=6).collect()
+    assert set(np.bincount([r.shard for r in got])) == {100}
+    home = {}
+    for r in got:
+        home.setdefault(r.doc_id // 3, []).append(r.shard)
+    assert sum(len(set(x)) == 1 for x in home.values()) >= 160
+
+
+def test_a_group_of_a_third_takes_few_shards(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i}") for i in range(600)]
+    got = shards.shard_documents(spark.createDataFrame(rows, DOCS), shards=12).collect()
+    assert set(np.bincount([r.shard for r in got])) == {50}
+    assert len({r.shard for r in got if r.doc_id % 3 == 0}) == 4
+
+
 def test_jaccard_components_equal_brute_force(spark, odd):
     rnd = random.Random(4)
     texts = []
