@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -216,3 +217,69 @@ def op7_suffix_array_dedup(spark, sf):
     from corpusprov.llm import suffixes
 
     return suffixes.without_repeats(table(spark, sf, "documents"), length=100).drop("kept")
+
+
+@query
+def op11_merkle_manifest(spark, sf):
+    from corpusprov.llm import merkle
+
+    docs = table(spark, sf, "documents")
+    text = F.when(remainder(5) == 0, F.translate("text", ascii_uppercase, ascii_lowercase))
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    rows = docs.select(
+        "doc_id", "source", merkle.leaf(*fields, F.col("text")).alias("leaf"),
+        F.when(remainder(5) == 0, merkle.leaf(*fields, text)).alias("tampered"))
+    proved = merkle.prove(rows, group="source", key="doc_id", carry=["tampered"])
+    back = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                        back.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: The unsigned crc32 of a decimal number, bit by bit; DuckDB has no function for it.
+CRC32_SQL = """list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)"""
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE rows AS (
+  SELECT *, CASE WHEN xor({CRC32_SQL}, 4294967295) % 5 = 0
+    THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM documents
+), hashed AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS claimed
+  FROM (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM rows)
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY source) AS n FROM hashed
+), low AS (
+  SELECT source, 0 AS level, idx, leaf AS h, n FROM leaves UNION ALL
+  SELECT source, any_value(level) + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 15) // 16)
+  FROM low WHERE n > 1 GROUP BY source, level, idx // 16
+), subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1
+), high AS (
+  SELECT 0 AS level, idx, subroot AS h, n FROM subroots UNION ALL
+  SELECT any_value(level) + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 15) // 16)
+  FROM high WHERE n > 1 GROUP BY level, idx // 16
+), sides AS (
+  SELECT source, level, idx, false AS top, coalesce(string_agg(h, '' ORDER BY idx) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '' ORDER BY idx) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM low WHERE n > 1 WINDOW w AS (PARTITION BY source, level, idx // 16 ORDER BY idx) UNION ALL
+  SELECT NULL, level, idx, true, coalesce(string_agg(h, '' ORDER BY idx) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''),
+    coalesce(string_agg(h, '' ORDER BY idx) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '')
+  FROM high WHERE n > 1 WINDOW w AS (PARTITION BY level, idx // 16 ORDER BY idx)
+), proofs AS (
+  SELECT p.doc_id, p.leaf, p.claimed, p.subroot, s.top, s.level, s.l, s.r
+  FROM (SELECT a.*, b.subroot, b.idx AS place FROM leaves a JOIN subroots b ON a.source IS NOT DISTINCT FROM b.source) p
+  LEFT JOIN sides s ON (NOT s.top AND s.source IS NOT DISTINCT FROM p.source AND s.idx = p.idx // (16 ** s.level)::BIGINT)
+    OR (s.top AND s.idx = p.place // (16 ** s.level)::BIGINT)
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM high WHERE n = 1) AS root,
+    sha256(coalesce(string_agg(l || r, '' ORDER BY top, level), '')) AS proof_sha256,
+    list_reduce([claimed] || coalesce(list(l || '|' || r ORDER BY top, level) FILTER (l IS NOT NULL), []),
+      lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) AS folded_root
+  FROM proofs GROUP BY doc_id, leaf, claimed, subroot)
+"""
