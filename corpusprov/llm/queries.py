@@ -283,3 +283,18 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
       lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) AS folded_root
   FROM proofs GROUP BY doc_id, leaf, claimed, subroot)
 """
+
+
+@query
+def op12_byte_bpe(spark, sf):
+    import public_tokenizers
+
+    from corpusprov.llm import bpe
+
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
