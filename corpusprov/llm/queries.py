@@ -298,3 +298,35 @@ def op12_byte_bpe(spark, sf):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_ranked_lexical_search(spark, sf):
+    from corpusprov.llm import lexical
+
+    return lexical.rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=20)
+
+
+ORACLES["op13_ranked_lexical_search"] = """
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents
+), item_terms AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL
+), sizes AS (SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id
+), total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes
+), tfs AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tfs, total GROUP BY term, docs
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM item_terms JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), total GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
