@@ -34,8 +34,10 @@ PART_BYTES = 256 << 10
 SAMPLE, DIRECTIONS = 1024, 32
 #: Directions are told apart in a space of so many hashed terms.
 HASHED = 512
-#: A block has about so many entries, a leaf at most so many documents.
-BLOCK_ENTRIES, LEAF = 1 << 19, 32
+#: A block has about so many entries and documents at most, a leaf at most so many documents.
+BLOCK_ENTRIES, BLOCK_DOCS, LEAF = 1 << 19, 4096, 16
+#: Terms of one direction are in groups by how many documents hold them, in powers of 4.
+BANDS = 8
 #: Items whose bounds are worked out together.
 AT_ONCE = 128
 #: Relative slack of distances and bounds; sums of a million doubles err by less.
@@ -200,7 +202,6 @@ class BallTree:
         self.entries, self.groups = entries, groups
         self.terms, entries.term = np.unique(entries.term, return_inverse=True)
         self.group = group[self.terms]
-        self.scored = 0
 
     def balls(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Centroid and radii of each node."""
@@ -243,7 +244,6 @@ class BallTree:
                 heapq.heappush(heap, (-bound[right], right))
                 continue
             got = self.entries.scores(item, np.arange(a, b))
-            self.scored += b - a
             some = got >= max(1, least)
             if some.any():
                 ids, scores = np.r_[ids, self.entries.ids[a:b][some]], np.r_[scores, got[some]]
@@ -285,8 +285,9 @@ def _search_part(docs: DataFrame, part: list[tuple], k: int) -> DataFrame:
     log = F.ln(F.lit(2.0 * n_docs + 2) / (2 * F.col("count") + 1))
     held = counted.select(F.explode("term").alias("term")).groupBy("term").count()
     weights = np.zeros(len(terms), np.int64)
-    for term, weight in held.select("term", F.floor(1000 * log)).collect():  # as many as terms of this part
-        weights[term] = weight
+    band = np.zeros(len(terms), np.int64)
+    for term, weight, count in held.select("term", F.floor(1000 * log), "count").collect():  # terms of this part
+        weights[term], band[term] = weight, min(BANDS - 1, (count.bit_length() - 1) // 2)
 
     ranked = counted.where("doc_id is not null and size(term) > 0")
     sample = ranked.orderBy(F.xxhash64("doc_id", "n", "term"), "doc_id").limit(SAMPLE).toArrow()
@@ -299,11 +300,11 @@ def _search_part(docs: DataFrame, part: list[tuple], k: int) -> DataFrame:
             least[a] = scores[-k] if len(scores) >= k else 0
     points = seen.hashed() if sample.num_rows else np.zeros((1, HASHED), np.float32)
     directions = _directions(points, DIRECTIONS)
-    # terms of one language or subject are one group: that of the direction where they weigh most
+    # terms of one language or subject belong to the direction where they weigh most
     mass = np.zeros((len(directions), len(terms)))
     if sample.num_rows:
         np.add.at(mass, ((points @ directions.T).argmax(axis=1)[seen.owner], seen.term), seen.value)
-    group = mass.argmax(axis=0) if len(terms) else np.zeros(0, np.int64)
+    group = mass.argmax(axis=0) * BANDS + band
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
@@ -319,23 +320,22 @@ def _search_part(docs: DataFrame, part: list[tuple], k: int) -> DataFrame:
 
     vectors = stored(ranked.mapInArrow(deal, "doc_id bigint, n bigint, term array<int>, tf array<int>, direction int, spread int"), "vectors", "zstd")
     blocks = [1] * len(directions)
-    for at, entries in vectors.groupBy("direction").agg(F.sum(F.size("term"))).collect():
-        blocks[at] = -(-entries // BLOCK_ENTRIES)
+    for at, entries, count in vectors.groupBy("direction").agg(F.sum(F.size("term")), F.count(F.lit(1))).collect():
+        blocks[at] = max(-(-entries // BLOCK_ENTRIES), -(-count // BLOCK_DOCS))
     shares = F.array(*[F.lit(b) for b in blocks])
     dealt = vectors.withColumn("block", F.col("spread") % F.element_at(shares, F.col("direction") + 1))
 
     def search(table: pa.Table) -> pa.Table:
-        tree = BallTree(Entries(table, weights, n_docs, n_terms), group, len(directions))
+        tree = BallTree(Entries(table, weights, n_docs, n_terms), group, len(directions) * BANDS)
         found = [*tree.search(items, least, k)]
         size = [len(ids) for _, ids, _ in found]
         return pa.table({
             "item": np.repeat(np.array([i for i, _, _ in found], np.int64), size),
             "doc_id": np.concatenate([ids for _, ids, _ in found]) if found else np.zeros(0, np.int64),
-            "score": np.concatenate([s for _, _, s in found]) if found else np.zeros(0, np.int64),
-            "scored": np.full(sum(size), tree.scored, np.int64)})
+            "score": np.concatenate([s for _, _, s in found]) if found else np.zeros(0, np.int64)})
 
     names = spark.createDataFrame([(i, item_id) for i, (item_id, _) in enumerate(part)], "item bigint, item_id bigint")
-    hits = dealt.groupBy("direction", "block").applyInArrow(search, "item bigint, doc_id bigint, score bigint, scored bigint")
+    hits = dealt.groupBy("direction", "block").applyInArrow(search, "item bigint, doc_id bigint, score bigint")
     return hits.join(F.broadcast(names), "item").select("item", "item_id", "doc_id", "score")
 
 
