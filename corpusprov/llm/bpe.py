@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from corpusprov.llm.arrays import slices
 
-#: Pieces whose ids a Python worker keeps; beyond that it starts anew, so memory is bounded.
-KEPT_PIECES = 500_000
+#: Pieces whose ids a Python worker keeps; then it keeps the last so many of the older ones too,
+#: until there are as many new ones again. So memory is bounded and frequent pieces stay.
+KEPT_PIECES = 250_000
 #: Longer pieces are encoded but not kept.
 KEPT_BYTES = 64
 #: Pairs of tokens whose fit is kept.
-KEPT_PAIRS = 2_000_000
+KEPT_PAIRS = 600_000
 #: Texts of more characters are split into pieces step by step.
 SPLIT_AT_ONCE = 1 << 20
 #: Marks an entry of a table whose byte is the first of a piece.
@@ -47,17 +48,22 @@ class Known(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
-        own, data = self.vocabulary, piece.encode()
-        # the whole piece counts first, also where a vocabulary has no merges for it
-        whole = own.ranks.get(data)
-        ids = np.array([whole] if whole is not None else own.back(own.table(data)), "<i4").tobytes()
-        if len(data) <= KEPT_BYTES:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            own, data = self.vocabulary, piece.encode()
+            # the whole piece counts first, also where a vocabulary has no merges for it
+            whole = own.ranks.get(data)
+            ids = array("i", [whole]) if whole is not None else own.back(own.table(data))
+            ids = np.array(ids, "<i4").tobytes()
+            if len(data) > KEPT_BYTES:
+                return ids
+        if len(self) >= KEPT_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
@@ -243,12 +249,16 @@ class Vocabulary:
         return entries
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The file has a base64 text and its rank on each line."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, f)))}
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
-    """One vocabulary for a Python worker. The file has a base64 text and its rank on each line."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, f)))}
-    return Vocabulary(ranks, pattern)
+    """One vocabulary for a Python worker."""
+    return Vocabulary(read_ranks(path), pattern)
 
 
 def _names(df: DataFrame, keep: Sequence[str], made: Sequence[str]) -> str:
@@ -320,7 +330,7 @@ def edit(encoded: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("do
     return encoded.select(*[F.col(f"`{c}`") for c in keep], "text", "last", "at", "removed", "inserted").mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc_id", "ids")) -> DataFrame:
+def decode(encoded: DataFrame, path: str, keep: Sequence[str] = ("doc_id", "ids")) -> DataFrame:
     """Columns ``keep`` and the bytes of ``ids`` as ``decoded``; no ids and a null list give none.
 
     An id that the vocabulary doesn't have is an error.
@@ -328,9 +338,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("
     schema = _names(encoded, keep, ["decoded"]) + "decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(path, pattern)
-        size = np.array([*map(len, own.texts)], np.int64)
-        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(own.texts), np.uint8)
+        ranks = read_ranks(path)
+        size = np.zeros(max(ranks.values()) + 1, np.int64)
+        size[[*ranks.values()]] = [*map(len, ranks)]
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)

@@ -293,7 +293,7 @@ def op12_byte_bpe(spark, sf):
 
     ranks = tokenizer_path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, ranks)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -115,6 +115,13 @@ def test_prefix_tables_equal_the_library(known):
         assert own.back(array("i", table[:k])).tolist() == library.encode_ordinary(long[:k])
 
 
+def test_few_kept_pieces_give_the_same_ids(known, monkeypatch):
+    own, library = known
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 3)
+    text = some_text(random.Random(16), 300)
+    assert np.frombuffer(own.ids(text + text), "<i4").tolist() == library.encode_ordinary(text + text)
+
+
 def test_edits_equal_a_new_table(known):
     own, library = known
     rnd = random.Random(13)
@@ -147,16 +154,16 @@ def test_documents_round_trip(spark, odd, none, known):
     _, library = known
     encoded = bpe.encode(odd.withColumn("last", F.lit(1)), RANKS, PATTERN, keep=["doc_id", "row", "score", "last"])
     assert encoded.columns == ["doc_id", "row", "score", "last", "ids"]
-    got = bpe.decode(encoded, RANKS, PATTERN).collect()
+    got = bpe.decode(encoded, RANKS).collect()
     assert len(got) == 8
     texts = Counter((r.doc_id, r.text or "") for r in odd.collect())
     assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in got) == texts
     assert all(r.ids == library.encode_ordinary(bytes(r.decoded).decode()) for r in got)
-    assert bpe.decode(bpe.encode(none, RANKS, PATTERN), RANKS, PATTERN).count() == 0
+    assert bpe.decode(bpe.encode(none, RANKS, PATTERN), RANKS).count() == 0
     lists = spark.createDataFrame([(1, None), (2, []), (3, [15496])], "doc_id bigint, ids array<int>")
-    assert [bytes(r.decoded) for r in bpe.decode(lists, RANKS, PATTERN).orderBy("doc_id").collect()] == [b"", b"", b"Hello"]
+    assert [bytes(r.decoded) for r in bpe.decode(lists, RANKS).orderBy("doc_id").collect()] == [b"", b"", b"Hello"]
     with pytest.raises(Exception, match="doesn't have"):
-        bpe.decode(spark.createDataFrame([(3, [99999])], "doc_id bigint, ids array<int>"), RANKS, PATTERN).collect()
+        bpe.decode(spark.createDataFrame([(3, [99999])], "doc_id bigint, ids array<int>"), RANKS).collect()
     with pytest.raises(ValueError):
         bpe.encode(odd.withColumn("ids", F.lit(1)), RANKS, PATTERN, keep=["ids"])
 
