@@ -140,12 +140,13 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
     begin, size = first[:-1][order], size[order]
-    label = np.zeros(words, np.int8)
+    kind = np.int8 if states <= 128 else np.int32
+    label = np.zeros(words, kind)
     if not words:
         return label
-    back = np.zeros((words, states), np.int8)
+    back = np.zeros((words, states), kind)
     active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
-    own = np.arange(states, dtype=np.int8)
+    own = np.arange(states, dtype=kind)
     best = scores[begin[: active[0]]].copy()
     ended: list[np.ndarray] = []
     for t in range(1, int(size[0])):
@@ -199,31 +200,35 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 12.0, spans:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     struct = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            for part in slices(batch, "_text", VITERBI_BYTES):
-                pred, share, found = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), [[] for _ in range(part.num_rows)]
-                if model:
-                    scores, size, start, end, words = _word_scores(part, model)
-                    got = viterbi(scores, np.r_[0, np.cumsum(words)], penalty)
-                    n = len(model.langs)
-                    text = np.repeat(np.arange(part.num_rows), words)
-                    letters = np.bincount(text * n + got, size, part.num_rows * n).reshape(-1, n)
-                    top = letters.argmax(1)
-                    total = letters.sum(1)
-                    share = np.where(total > 0, letters.max(1) / np.maximum(total, 1), 0.0)
-                    pred = [model.langs[k] if t else UNKNOWN for k, t in zip(top, total)]
-                    if spans and len(got):
-                        new = np.flatnonzero(np.r_[True, (got[1:] != got[:-1]) | (text[1:] != text[:-1])])
-                        last = np.r_[new[1:], len(got)] - 1
-                        for a, b in zip(new.tolist(), last.tolist()):
-                            found[text[a]].append({"start": int(start[a]), "end": int(end[b]), "lang": model.langs[got[a]]})
-                out = [part.column("_row"), pa.array(pred, pa.string()), pa.array(share)]
-                out += [pa.array(found, pa.list_(struct))] * spans
-                yield pa.RecordBatch.from_arrays(out, names=["_row", *added])
-
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text"))
-    schema = f"_row {held.schema['_row'].dataType.simpleString()}, lang_pred string, score double"
-    schema += ", spans array<struct<start:bigint,end:bigint,lang:string>>" * spans
-    return held.mapInArrow(label, schema).select("_row.*", *added)
+    def found(part: pa.RecordBatch, model: Model | None) -> pa.StructArray:
+        pred, share, places = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), [[] for _ in range(part.num_rows)]
+        if model:
+            scores, size, start, end, words = _word_scores(part, model)
+            got = viterbi(scores, np.r_[0, np.cumsum(words)], penalty)
+            n = len(model.langs)
+            text = np.repeat(np.arange(part.num_rows), words)
+            letters = np.bincount(text * n + got, size, part.num_rows * n).reshape(-1, n)
+            top = letters.argmax(1)
+            total = letters.sum(1)
+            share = np.where(total > 0, letters.max(1) / np.maximum(total, 1), 0.0)
+            pred = [model.langs[k] if t else UNKNOWN for k, t in zip(top, total)]
+            if spans and len(got):
+                new = np.flatnonzero(np.r_[True, (got[1:] != got[:-1]) | (text[1:] != text[:-1])])
+                last = np.r_[new[1:], len(got)] - 1
+                for a, b in zip(new.tolist(), last.tolist()):
+                    places[text[a]].append({"start": int(start[a]), "end": int(end[b]), "lang": model.langs[got[a]]})
+        out = [pa.array(pred, pa.string()), pa.array(share)] + [pa.array(places, pa.list_(struct))] * spans
+        return pa.StructArray.from_arrays(out, names=added)
+
+    def label(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            batch = pa.RecordBatch.from_arrays([column], ["_text"])
+            parts = [found(part, sent.value) for part in slices(batch, "_text", VITERBI_BYTES)]
+            yield pa.concat_arrays(parts or [found(batch, None)])
+
+    schema = "lang_pred string, score double" + ", spans array<struct<start:bigint,end:bigint,lang:string>>" * spans
+    # only the text goes to Python; not deterministic, so that a filter on the result doesn't work it out twice
+    marked = F.arrow_udf(label, schema).asNondeterministic()(F.col("text"))
+    held = docs.select(*[F.col(f"`{c}`") for c in names], marked.alias(added[0]))
+    made = [F.col(added[0])[c].alias(c) for c in added]
+    return held.select(*[F.col(f"`{c}`") for c in names], *made)
