@@ -15,8 +15,13 @@ from corpusprov.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language can be told; those without a letter go."""
+    """Keep documents whose language can be told; those without a letter go.
+
+    Where no document has a language to learn from, those with a letter stay.
+    """
     model = language.learn(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.identify(docs, model)
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
