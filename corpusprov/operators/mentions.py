@@ -1,32 +1,37 @@
-"""Which texts mention which terms."""
+"""Which texts mention which terms.
+
+Each term has an anchor, one of its pieces of a few characters. A text that holds the term
+holds its anchor, so all pieces of a text are looked up in a small table of bits, inside the
+scan; the few that pass meet the anchors in a join, and the terms so found are tested on the
+whole text. All of it is built-in functions, for any number of terms.
+"""
 
 from __future__ import annotations
 
-import sys
-from collections import defaultdict
+import json
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
-
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
 
-# Functions of this module travel to the executors, which need not have the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from corpusprov.operators.ordering import is_small
 
 # Fixed value: spellings that count as a mention of the crawl.
 CRAWL_SPELLINGS = ["cc-main", "common crawl", "commoncrawl"]
 CRAWL_ID = "commoncrawl"
-MAX_TERMS = 100_000
-MAX_TERM_CHARS = 10_000_000
-MAX_INLINE_TERMS = 1000
+#: Characters of an anchor; a shorter term is its own.
 ANCHOR = 8
+#: Texts are cut into pieces in chunks of so many characters.
+CHUNK = 1 << 16
+#: Bits of the sieve at most, 256 KB. With very many terms all pieces pass, and the join does the work.
+SIEVE_BITS = 1 << 21
+#: Parts that the texts with one anchor are dealt to where anchors are too many to broadcast.
+SALTS = 16
+#: Where a character begins, and not its second half.
+WHOLE = r"[^\x{dc00}-\x{dfff}]"
+#: With more different first characters of anchors, texts are looked at everywhere.
+MAX_FIRSTS = 500
 
 
 def mention_flag(text: str | Column) -> Column:
@@ -51,120 +56,91 @@ def _empty(id_type: T.DataType) -> Column:
     return F.array().cast(T.ArrayType(id_type))
 
 
-def _inline_lists(docs: DataFrame, doc_id: str, text: str, terms: list,
-                  id_type: T.DataType) -> DataFrame:
-    """Test every term on every text inside one projection."""
-    listed = F.array(*[F.struct(F.lit(t.term_id).cast(id_type).alias("term_id"),
-                                F.lit(t.term).alias("term")) for t in terms])
-    lowered = docs.select(doc_id, F.lower(F.col(text)).alias("_text"))
-    hits = F.filter(listed, lambda t: F.contains(F.col("_text"), t["term"]))
-    ids = F.array_sort(F.array_distinct(F.transform(hits, lambda t: t["term_id"])))
-    return lowered.select(doc_id, F.coalesce(ids, _empty(id_type)).alias("mentioned"))
-
-
-def _automaton(shared):
-    """Matcher of all terms; kept on the broadcast, so a Python worker builds it once."""
-    if not hasattr(shared, "matcher"):
-        ids = defaultdict(list)
-        for term_id, term in shared.value:
-            ids[term].append(term_id)
-        matcher = ahocorasick.Automaton()
-        for term, found in ids.items():
-            matcher.add_word(term, found)
-        matcher.make_automaton()
-        shared.matcher = matcher
-    return shared.matcher
-
-
-def _scanned_lists(docs: DataFrame, doc_id: str, text: str, terms: list,
-                   id_type: T.DataType) -> DataFrame:
-    """Scan every text once for all terms; the cost does not depend on their number."""
-    shared = docs.sparkSession.sparkContext.broadcast([(t.term_id, t.term) for t in terms])
-    lowered = docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.lower(F.col(text)), F.lit("")).alias("text"))
-    list_type = to_arrow_type(T.ArrayType(id_type))
-
-    def scan(batches):
-        matcher = _automaton(shared)
-        for batch in batches:
-            found = [sorted({t for _, ids in matcher.iter(body) for t in ids})
-                     for body in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, list_type)], ["doc_id", "mentioned"])
-
-    doc_type = docs.schema[doc_id].dataType.simpleString()
-    lists = lowered.mapInArrow(
-        scan, f"doc_id {doc_type}, mentioned array<{id_type.simpleString()}>")
-    return lists.withColumnRenamed("doc_id", doc_id)
-
-
-def _anchored_mentions(docs: DataFrame, doc_id: str, text: str, terms: DataFrame) -> DataFrame:
-    """Find candidates by an equi-join on short pieces of text, then check them whole.
-
-    A term's anchor is that one of its pieces which the fewest terms have, so terms with a
-    common start do not pile up on one key. A text that holds the term holds its anchor.
-    """
-    def pieces(s: Column, size: Column | int) -> Column:
-        # A look-ahead finds overlapping pieces in one pass over the text.
-        pattern = F.concat(F.lit("(?s)(?=(.{"), F.lit(size).cast("string"), F.lit("}))"))
-        return F.array_distinct(F.regexp_extract_all(s, pattern, F.lit(1)))
+def _anchors(terms: DataFrame) -> DataFrame:
+    """Terms with that one of their pieces which the fewest terms have.
 
-    size = F.least(F.length("term"), F.lit(ANCHOR))
-    grams = terms.select("term_id", "term", F.explode(pieces(F.col("term"), size)).alias("gram"))
+    So terms with a common start do not pile up on one key. Pieces that begin with a space come
+    first: only where a text has the first character of an anchor is it looked at.
+    """
+    more = (F.least(F.length("term"), F.lit(ANCHOR)) - 1).cast("string")
+    pattern = F.concat(F.lit(f"(?s)(?=({WHOLE}.{{"), more, F.lit("}))"))
+    pieces = F.regexp_extract_all("term", pattern, F.lit(1))
+    grams = terms.select("term_id", "term", F.explode(F.array_distinct(pieces)).alias("gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    anchors = grams.join(shared, "gram").groupBy("term_id", "term").agg(
-        F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-    sizes = [r[0] for r in terms.select(size).distinct().collect()]  # at most ANCHOR values
-    texts = docs.select(doc_id, F.lower(F.col(text)).alias("_text"))
-    found = [
-        texts.where(F.length("_text") >= k)
-        .select(doc_id, F.explode(pieces(F.col("_text"), k)).alias("gram"))
-        .join(anchors.where(F.length("gram") == k), "gram")
-        .select(doc_id, "term_id", "term")
-        for k in sizes
-    ]
-    candidates = found[0]
-    for more in found[1:]:
-        candidates = candidates.unionByName(more)
-    checked = candidates.join(texts, doc_id).where(F.contains(F.col("_text"), F.col("term")))
-    return checked.select(doc_id, "term_id").distinct()
-
-
-def _anchored_lists(docs: DataFrame, doc_id: str, text: str, terms: DataFrame,
-                    id_type: T.DataType) -> DataFrame:
-    pairs = _anchored_mentions(docs, doc_id, text, terms)
-    lists = pairs.groupBy(doc_id).agg(F.array_sort(F.collect_set("term_id")).alias("mentioned"))
-    joined = docs.select(doc_id).join(lists, doc_id, "left")
-    return joined.withColumn("mentioned", F.coalesce("mentioned", _empty(id_type)))
+    return grams.join(shared, "gram").groupBy("term_id", "term").agg(
+        F.min(F.struct(~F.startswith("gram", F.lit(" ")), "n", "gram"))["gram"].alias("gram"))
+
+
+def _sieve(anchors: DataFrame) -> tuple[Callable[[Column], Column], list[int], str]:
+    """A test that holds for all anchors and for few other pieces, the anchors' lengths, and a
+    pattern of their first characters."""
+    place = F.xxhash64("gram").bitwiseAND(SIEVE_BITS - 1)
+    held = (
+        anchors.select(place.alias("at"), F.length("gram").alias("size"), F.left("gram", F.lit(1)).alias("first"))
+        .groupBy(F.shiftright("at", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"),
+             F.collect_set("size").alias("sizes"), F.collect_set("first").alias("firsts"))
+        .collect())  # SIEVE_BITS / 64 rows at most
+    words = [0] * (SIEVE_BITS // 64)
+    for row in held:
+        words[row.word] = row.bits & (2**64 - 1)
+    marked = sum(w.bit_count() for w in words)
+    while len(words) > 64 and len(words) >= marked:  # keep 64 bits for each that is set
+        half = len(words) // 2
+        words = [a | b for a, b in zip(words[:half], words[half:])]
+    signed = json.dumps([w - 2**64 if w >> 63 else w for w in words])
+    table = F.from_json(F.lit(signed), "array<bigint>")
+
+    def passes(gram: Column) -> Column:
+        at = F.xxhash64(gram).bitwiseAND(len(words) * 64 - 1)
+        return F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+
+    firsts = sorted({c for row in held for c in row.firsts})
+    first = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in firsts) + "]" if 0 < len(firsts) <= MAX_FIRSTS else WHOLE
+    return passes, sorted({n for row in held for n in row.sizes}), first
+
+
+def _candidates(texts: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``digest`` and the terms whose anchor is in the text with that digest, as ``found``."""
+    passes, sizes, first = _sieve(anchors)
+    # a look-ahead finds overlapping pieces in one pass; chunks overlap by a piece
+    chunk = F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{1,{CHUNK + ANCHOR - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+    piece = F.regexp_extract_all("chunk", F.lit(f"(?s)(?=({first}.{{0,{max(sizes, default=1) - 1}}}))"), F.lit(1))
+    grams = texts.select("digest", F.explode(chunk).alias("chunk")).select("digest", F.explode(piece).alias("gram"))
+    if len(sizes) > 1:
+        grams = grams.select("digest", F.explode(F.array(*[F.left("gram", F.lit(k)) for k in sizes])).alias("gram"))
+    grams = grams.where(passes(F.col("gram"))).distinct()
+    if is_small(anchors):
+        met = grams.join(F.broadcast(anchors), "gram")
+    else:
+        salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")
+        copies = anchors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = grams.withColumn("salt", salt).join(copies, ["gram", "salt"])
+    return met.groupBy("digest").agg(F.collect_set(F.struct("term_id", "term")).alias("found"))
 
 
 def mention_lists(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, term_id: str,
-                  term: str, max_terms: int = MAX_TERMS) -> DataFrame:
-    """Each text's id with the sorted list of terms that it contains, ignoring case.
+                  term: str) -> DataFrame:
+    """Each row's id with the sorted list of terms that its text contains, ignoring case.
 
-    ``doc_id`` must be unique. Terms go to the tasks while there are at most ``max_terms``
-    and they are short enough together; then texts are not shuffled at all. More terms are
-    matched by a join. All ways are exact.
+    Rows are told apart by their text alone, so repeated and NULL ids have each their own list;
+    equal texts are matched once. A NULL text mentions nothing, and an empty or NULL term is
+    mentioned nowhere. The number of terms only decides whether the anchors are broadcast.
     """
     folded = _terms(terms, term_id, term)
-    id_type = terms.schema[term_id].dataType
-    size = folded.limit(max_terms + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars"))
-    n, chars = size.first()
-    if n == 0:
-        return docs.select(doc_id, _empty(id_type).alias("mentioned"))
-    if n <= max_terms and chars <= MAX_TERM_CHARS:
-        if ahocorasick is not None:
-            return _scanned_lists(docs, doc_id, text, folded.collect(), id_type)
-        if n <= MAX_INLINE_TERMS:
-            return _inline_lists(docs, doc_id, text, folded.collect(), id_type)
-    return _anchored_lists(docs, doc_id, text, folded, id_type)
+    anchors = _anchors(folded)
+    rows = docs.select(doc_id, F.lower(F.col(text)).alias("body")).withColumn("digest", F.md5("body"))
+    found = _candidates(rows.select("digest", "body"), anchors)
+    held = F.filter("found", lambda t: F.contains(F.col("body"), t["term"]))
+    ids = F.array_sort(F.array_distinct(F.transform(held, lambda t: t["term_id"])))
+    return rows.join(found, "digest", "left").select(
+        doc_id, F.coalesce(ids, _empty(terms.schema[term_id].dataType)).alias("mentioned"))
 
 
 def find_mentions(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, term_id: str,
-                  term: str, max_terms: int = MAX_TERMS) -> DataFrame:
+                  term: str) -> DataFrame:
     """(doc_id, term_id) rows instead of lists."""
-    lists = mention_lists(docs, terms, doc_id, text, term_id, term, max_terms)
+    lists = mention_lists(docs, terms, doc_id, text, term_id, term)
     return lists.select(doc_id, F.explode("mentioned").alias("term_id"))
 
 

@@ -31,13 +31,23 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
+def is_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 16 << 20) -> bool:
+    """Whether ``df`` can be broadcast: it has few rows, and they are short as JSON.
+
+    This reads ``df``, so use it for configuration-like tables.
+    """
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.select(size.alias("size")).limit(max_rows + 1).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return n <= max_rows and total <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 16 << 20) -> DataFrame:
+    """Hint a broadcast only after checking the number and the size of the rows of ``df``.
 
     A larger table is returned as it is, for a shuffle join with adaptive skew splitting.
-    The count reads ``df``, so use this for configuration-like tables.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def top_n_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

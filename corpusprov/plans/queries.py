@@ -538,9 +538,8 @@ def text_mentions(spark, sf):
 
 @query
 def text_mentions_anchored(spark, sf):
-    """The same pairs by the join that serves any number of terms."""
-    return men.find_mentions(fx.table(spark, sf, "documents"), fx.table(spark, sf, "benchmark"),
-                             "doc_id", "text", "item_id", "text", max_terms=0)
+    """The same mentions as rows."""
+    return _mentions(spark, sf)
 
 
 @query

@@ -1,6 +1,8 @@
 import datetime
 import math
 
+import random
+
 import pandas as pd
 import pytest
 from corpusprov.functions import clean_name, output_name, path_facets, snapshot_monday
@@ -26,15 +28,46 @@ def brute_mentions():
                    if text is not None and name.lower() in text.lower()})
 
 
-@pytest.mark.parametrize("way", ["scan", "inline", "join"])
-def test_mentions(spark, rows, monkeypatch, way):
+@pytest.mark.parametrize("small", [True, False])
+def test_mentions(spark, rows, monkeypatch, small):
     docs = spark.createDataFrame(DOCS, "id int, readme string")
-    terms = spark.createDataFrame([*TERMS, ("o/empty", "")], "tid string, name string")
-    if way == "inline":
-        monkeypatch.setattr(men, "ahocorasick", None)
-    limit = 2 if way == "join" else 1000
-    got = men.find_mentions(docs, terms, "id", "readme", "tid", "name", max_terms=limit)
+    terms = spark.createDataFrame([*TERMS, ("o/empty", ""), ("o/null", None)], "tid string, name string")
+    if not small:
+        monkeypatch.setattr(men, "is_small", lambda df: False)
+    got = men.find_mentions(docs, terms, "id", "readme", "tid", "name")
     assert rows(got) == brute_mentions()
+    assert "Arrow" not in got._jdf.queryExecution().toString() and "Python" not in got._jdf.queryExecution().toString()
+
+
+ODD = [(1, "has alpha"), (1, "has beta"), (1, "has beta"), (None, "alpha and beta"), (None, None), (None, "ALPHA"), (2, "")]
+
+
+@pytest.mark.parametrize("n", [1, 2, 200_000])
+def test_mentions_of_repeated_and_null_ids(spark, n):
+    """Each row has its own list, however many terms there are."""
+    docs = spark.createDataFrame(ODD, "id int, t string")
+    names = ["alpha", "beta"][:n]
+    terms = spark.createDataFrame([(x, x) for x in names], "tid string, name string").unionByName(
+        spark.range(max(0, n - 2)).selectExpr("concat('t', id) as tid", "concat('no such name ', id) as name"))
+    got = men.mention_lists(docs, terms, "id", "t", "tid", "name").collect()
+    want = [(i, [x for x in names if t and x in t.lower()]) for i, t in ODD]
+    assert sorted(((r.id, r.mentioned) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_mentions_equal_brute_force(spark, monkeypatch):
+    """Terms of all lengths, over borders of chunks, with pieces that most texts have."""
+    monkeypatch.setattr(men, "CHUNK", 50)
+    rnd = random.Random(1)
+    texts = [(i, "".join(rnd.choice("abÄ 😀\n") for _ in range(rnd.randrange(300)))) for i in range(60)]
+    texts += [(i, "a common line of boilerplate " * 20 + t) for i, t in texts[:40]]
+    starts = [(rnd.choice(texts)[1], rnd.randrange(250), rnd.randrange(1, 40)) for _ in range(150)]
+    names = {t[a:a + n] for t, a, n in starts} | {"a common line of boilerplate x", "a common line", "q" * 30}
+    terms = sorted(enumerate(sorted(names - {""})))
+    got = men.find_mentions(spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame(terms, "tid int, name string"),
+                            "id", "t", "tid", "name")
+    want = [(i, k) for i, t in texts for k, name in terms if name.lower() in t.lower()]
+    found = sorted(map(tuple, got.collect()))
+    assert not {(terms[k], i) for i, k in set(want) ^ set(found)} and len(found) == len(want)
 
 
 def test_mention_lists_with_the_crawl(spark):
