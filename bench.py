@@ -28,7 +28,7 @@ HEADLINE = [
     "snapshot_stats", "distinct_domains", "gini_by_dataset", "lorenz_curve", "top_share_pct",
     "size_bucket_pct", "log_histogram", "path_facets", "section_share_delta", "top_sections",
     "year_density", "manifest_grep", "chunk_lines", "size_batches", "dedupe_first",
-    "text_mentions", "language_share", "label_metrics", "parse_label_response",
+    "text_mentions", "text_mentions_anchored", "mentions_depth1", "language_share", "label_metrics", "parse_label_response",
     "stratified_sample", "streamed_domain_counts",
 ]
 

@@ -5,9 +5,9 @@ in for a missing q, the sum of p*ln(p/q) over P's domains expands to
 
     sum(a ln a)/A - ln A - sum_matched(a ln b)/A + (a_matched/A) ln B - (a_unmatched/A) ln eps
 
-Every term is a plain sum over domains. So one shuffle on (pair, domain) brings a and b
-together, and the totals fall out of the same pass: no join of P with Q, no window, and no
-second read for totals.
+Every term is a plain sum over domains. So one shuffle on the domain brings a and b together
+for all pairs, and the totals fall out of the same pass: no join of P with Q, no window, and
+no second read for totals.
 """
 
 from __future__ import annotations
@@ -41,21 +41,21 @@ def pair_id(sources: str, targets: str) -> Column:
 
 
 def pair_members(pairs: DataFrame) -> DataFrame:
-    """(pair_id, side, dataset_name), once per dataset of a side."""
-    keyed = pairs.withColumn("pair_id", pair_id("sources", "targets"))
-    sides = [
-        keyed.select(
-            "pair_id", F.lit(side).alias("side"), F.explode(F.array_distinct(col)).alias("member")
-        )
-        for side, col in (("p", "sources"), ("q", "targets"))
-    ]
-    members = sides[0].unionByName(sides[1])
-    return members.select("pair_id", "side", F.element_at(F.split("member", "/"), -1)
-                          .alias("dataset_name")).distinct()
+    """(pair, side, dataset_name), once per dataset of a side; ``pair`` is the pair's number."""
+    def short(names: str) -> Column:
+        return F.array_distinct(F.transform(names, lambda n: F.element_at(F.split(n, "/"), -1)))
+
+    p, q = (
+        pairs.select("pair", F.lit(side).alias("side"), F.explode(short(col)).alias("dataset_name"))
+        for side, col in (("p", "sources"), ("q", "targets")))
+    return p.unionByName(q)
 
 
 def require_known(members: DataFrame, known: DataFrame) -> None:
-    """Raise when a pair names a dataset that is not there, instead of taking it as empty."""
+    """Raise when a pair names a dataset that is not there, instead of taking it as empty.
+
+    Of ``known`` only ``dataset_name`` is read, which for a partitioned table is its folders.
+    """
     missing = (
         members.select("dataset_name")
         .distinct()
@@ -68,7 +68,7 @@ def require_known(members: DataFrame, known: DataFrame) -> None:
 
 
 def kl_by_pair(rows: DataFrame, merge: bool = True) -> DataFrame:
-    """KL per pair from rows ``(pair_id, side, domain, url_count)``.
+    """KL per pair from rows ``(pair, side, domain, url_count)``.
 
     ``merge`` adds up the rows of a domain on each side first. Without it every row keeps
     its own probability and each row of P meets each row of Q with its domain; that sum
@@ -79,7 +79,7 @@ def kl_by_pair(rows: DataFrame, merge: bool = True) -> DataFrame:
     """
     n = F.col("url_count").cast("double")
     p, q = F.col("side") == "p", F.col("side") == "q"
-    per_domain = rows.where(F.col("url_count") > 0).groupBy("pair_id", "domain").agg(
+    per_domain = rows.where(F.col("url_count") > 0).groupBy("pair", "domain").agg(
         F.sum(F.when(p, n)).alias("a"),
         F.sum(F.when(q, n)).alias("b"),
         F.sum(F.when(p, n * F.ln(n))).alias("rows_a_ln_a"),
@@ -92,7 +92,7 @@ def kl_by_pair(rows: DataFrame, merge: bool = True) -> DataFrame:
     uses = F.when(matched, F.lit(1.0) if merge else F.col("rows_b")).otherwise(1.0)
     a_ln_a = a * F.ln(a) if merge else F.col("rows_a_ln_a")
     ln_b = F.ln(b) if merge else F.col("rows_ln_b")
-    sums = per_domain.groupBy("pair_id").agg(
+    sums = per_domain.groupBy("pair").agg(
         F.sum(a).alias("total_a"),
         F.sum(b).alias("total_b"),
         F.sum(a * uses).alias("a_used"),
@@ -110,13 +110,13 @@ def kl_by_pair(rows: DataFrame, merge: bool = True) -> DataFrame:
         + F.coalesce(c("a_matched") * F.ln("total_b"), zero)
         - F.coalesce(c("a_unmatched"), zero) * F.ln(F.lit(EPSILON))
     )
-    return sums.select("pair_id", (total / c("total_a")).alias("kl_divergence"))
+    return sums.select("pair", (total / c("total_a")).alias("kl_divergence"))
 
 
 def kl_divergence(p: DataFrame, q: DataFrame, key: str = "domain", merge: bool = True) -> DataFrame:
     """KL(P || Q) of two count tables, as one row."""
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.lit("pair").alias("pair_id"), F.lit(name).alias("side"),
+        return df.select(F.lit(0).alias("pair"), F.lit(name).alias("side"),
                          F.col(key).alias("domain"), "url_count")
 
     kl = kl_by_pair(side(p, "p").unionByName(side(q, "q")), merge)
@@ -125,24 +125,27 @@ def kl_divergence(p: DataFrame, q: DataFrame, key: str = "domain", merge: bool =
 
 
 def kl_all_pairs(counts: DataFrame, pairs: DataFrame, merge: bool = True,
-                 check_names: bool = True) -> DataFrame:
+                 check_names: bool = True, known: DataFrame | None = None) -> DataFrame:
     """KL of every pair in one job: pair_id, pair_key and kl_divergence, a row for each pair.
 
-    ``counts`` is ``(dataset_name, domain, url_count)``, best summed per dataset and domain
-    already, since a dataset's rows are repeated for every pair that uses it. Unknown names
-    are errors unless ``check_names`` is off, which takes them as empty. The pairs are worked
-    out once and read from the checkpoint folder.
+    ``counts`` is ``(dataset_name, domain, url_count)``. It is shuffled once, on the domain, as it
+    is; what different datasets have of a domain meets the table of pairs there, and is
+    summed per pair before sums are shuffled. So a row is not repeated for the pairs that use
+    it until it is where they need it. Unknown names are errors unless ``check_names`` is off,
+    which takes them as empty. They are looked for in ``known``, which may be the folders of
+    the table or what the counts are made of; without it the counts are worked out twice.
+    The pairs are worked out once and read from the checkpoint folder.
     """
-    pairs = materialized(pairs.select("sources", "targets"))
+    pairs = materialized(pairs.select(
+        "sources", "targets", pair_id("sources", "targets").alias("pair_id"),
+        pair_key("sources", "targets").alias("pair_key"), F.monotonically_increasing_id().alias("pair")))
     members = pair_members(pairs)
     if check_names:
-        require_known(members, counts)
-    members = broadcast_if_small(members)
-    rows = counts.join(members, "dataset_name").select("pair_id", "side", "domain", "url_count")
+        require_known(members, counts if known is None else known)
+    by_domain = counts.select("dataset_name", "domain", "url_count").repartition("domain")
+    rows = by_domain.join(broadcast_if_small(members), "dataset_name").select("pair", "side", "domain", "url_count")
     found = kl_by_pair(rows, merge)
-    keys = pairs.select(
-        pair_id("sources", "targets").alias("pair_id"), pair_key("sources", "targets").alias("pair_key"))
-    return keys.join(found, "pair_id", "left")
+    return pairs.join(found, "pair", "left").select("pair_id", "pair_key", "kl_divergence")
 
 
 def datasets_of(pairs: list[tuple[list[str], list[str]]]) -> list[str]:

@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusprov.operators.ordering import is_small
-
 # Fixed value: spellings that count as a mention of the crawl.
 CRAWL_SPELLINGS = ["cc-main", "common crawl", "commoncrawl"]
 CRAWL_ID = "commoncrawl"
@@ -26,6 +24,8 @@ ANCHOR = 8
 CHUNK = 1 << 16
 #: Bits of the sieve at most, 256 KB. With very many terms all pieces pass, and the join does the work.
 SIEVE_BITS = 1 << 21
+#: Anchors and their terms are broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
 #: Parts that the texts with one anchor are dealt to where anchors are too many to broadcast.
 SALTS = 16
 #: Where a character begins, and not its second half.
@@ -71,15 +71,17 @@ def _anchors(terms: DataFrame) -> DataFrame:
         F.min(F.struct(~F.startswith("gram", F.lit(" ")), "n", "gram"))["gram"].alias("gram"))
 
 
-def _sieve(anchors: DataFrame) -> tuple[Callable[[Column], Column], list[int], str]:
-    """A test that holds for all anchors and for few other pieces, the anchors' lengths, and a
-    pattern of their first characters."""
+def _sieve(anchors: DataFrame) -> tuple[Callable[[Column], Column], list[int], str, bool]:
+    """A test that holds for all anchors and for few other pieces, the anchors' lengths, a
+    pattern of their first characters, and whether they can be broadcast."""
     place = F.xxhash64("gram").bitwiseAND(SIEVE_BITS - 1)
     held = (
-        anchors.select(place.alias("at"), F.length("gram").alias("size"), F.left("gram", F.lit(1)).alias("first"))
+        anchors.select(place.alias("at"), F.length("gram").alias("size"), F.left("gram", F.lit(1)).alias("first"),
+                       (F.octet_length("term") + 64).alias("bytes"))
         .groupBy(F.shiftright("at", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"),
-             F.collect_set("size").alias("sizes"), F.collect_set("first").alias("firsts"))
+             F.collect_set("size").alias("sizes"), F.collect_set("first").alias("firsts"),
+             F.sum("bytes").alias("bytes"))
         .collect())  # SIEVE_BITS / 64 rows at most
     words = [0] * (SIEVE_BITS // 64)
     for row in held:
@@ -97,12 +99,13 @@ def _sieve(anchors: DataFrame) -> tuple[Callable[[Column], Column], list[int], s
 
     firsts = sorted({c for row in held for c in row.firsts})
     first = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in firsts) + "]" if 0 < len(firsts) <= MAX_FIRSTS else WHOLE
-    return passes, sorted({n for row in held for n in row.sizes}), first
+    small = sum(row.bytes for row in held) <= BROADCAST_BYTES
+    return passes, sorted({n for row in held for n in row.sizes}), first, small
 
 
 def _candidates(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     """``digest`` and the terms whose anchor is in the text with that digest, as ``found``."""
-    passes, sizes, first = _sieve(anchors)
+    passes, sizes, first, small = _sieve(anchors)
     # a look-ahead finds overlapping pieces in one pass; chunks overlap by a piece
     chunk = F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{1,{CHUNK + ANCHOR - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
     piece = F.regexp_extract_all("chunk", F.lit(f"(?s)(?=({first}.{{0,{max(sizes, default=1) - 1}}}))"), F.lit(1))
@@ -110,7 +113,7 @@ def _candidates(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     if len(sizes) > 1:
         grams = grams.select("digest", F.explode(F.array(*[F.left("gram", F.lit(k)) for k in sizes])).alias("gram"))
     grams = grams.where(passes(F.col("gram"))).distinct()
-    if is_small(anchors):
+    if small:
         met = grams.join(F.broadcast(anchors), "gram")
     else:
         salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")

@@ -67,6 +67,14 @@ def hosts(spark: SparkSession, sf: str) -> DataFrame:
     return counted.withColumn("dataset_name", F.concat("crawl", F.lit("_urls")))
 
 
+def dataset_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of the derived corpora and of the snapshots, without working out any counts."""
+    quarter = F.make_date(F.year("l_shipdate"), F.quarter("l_shipdate") * 3, F.lit(1))
+    items = table(spark, sf, "lineitem").select("l_linestatus", quarter.alias("l_shipdate")).distinct()
+    names = F.array(F.concat(F.lit("lines_"), F.lower("l_linestatus")), F.concat(_crawl(), F.lit("_urls")))
+    return items.select(F.explode(names).alias("dataset_name"))
+
+
 def crawl_index(spark: SparkSession, sf: str) -> DataFrame:
     """One row per crawled URL, with home pages and robots files among them."""
     tail = (
@@ -147,16 +155,21 @@ def cards(spark: SparkSession, sf: str) -> list[DataFrame]:
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """A year's snapshots as parents of both derived corpora, one of them joined by the other."""
+    """A year's snapshots as parents of both derived corpora, alone and joined by either.
+
+    The last two pairs of a year have one label.
+    """
     crawls = _lines(spark, sf).select(
         F.year("l_shipdate").alias("y"),
         F.concat(F.lit("hub/"), _crawl(), F.lit("_urls")).alias("name")).distinct()
     by_year = crawls.groupBy("y").agg(F.array_sort(F.collect_set("name")).alias("crawls"))
     with_other = F.concat("crawls", F.array(F.lit("hub/lines_f")))
+    with_itself = F.concat("crawls", F.array(F.lit("hub/lines_o")))
     rows = F.array(
         F.struct(F.col("crawls").alias("sources"), F.array(F.lit("hub/lines_f")).alias("targets")),
         F.struct(F.col("crawls").alias("sources"), F.array(F.lit("hub/lines_o")).alias("targets")),
-        F.struct(with_other.alias("sources"), F.array(F.lit("hub/lines_o")).alias("targets")))
+        F.struct(with_other.alias("sources"), F.array(F.lit("hub/lines_o")).alias("targets")),
+        F.struct(with_itself.alias("sources"), F.array(F.lit("hub/lines_o")).alias("targets")))
     return by_year.select(F.inline(rows))
 
 
@@ -264,17 +277,19 @@ CTES: dict[str, tuple[list[str], str]] = {
           FROM items GROUP BY year(l_shipdate)) y,
         LATERAL (SELECT c AS sources, ['hub/lines_f'] AS targets
                  UNION ALL SELECT c, ['hub/lines_o']
-                 UNION ALL SELECT list_append(c, 'hub/lines_f'), ['hub/lines_o']) p"""),
+                 UNION ALL SELECT list_append(c, 'hub/lines_f'), ['hub/lines_o']
+                 UNION ALL SELECT list_append(c, 'hub/lines_o'), ['hub/lines_o']) p"""),
     "keyed": (["pairs"], """
         SELECT *, CASE WHEN len(sources) = 1 THEN split_part(sources[1], '/', -1)
                   ELSE len(sources) || '_sources_'
                        || split_part(split_part(sources[1], '/', -1), '_', 1) END
-               || '_to_' || split_part(targets[1], '/', -1) AS pair_key
+               || '_to_' || split_part(targets[1], '/', -1) AS pair_key,
+               array_to_string(sources, ',') || '>' || array_to_string(targets, ',') AS pair
         FROM pairs"""),
     "members": (["keyed"], """
-        SELECT DISTINCT pair_key, side, split_part(m, '/', -1) AS dataset_name FROM (
-          SELECT pair_key, 'p' AS side, unnest(sources) AS m FROM keyed
-          UNION ALL SELECT pair_key, 'q', unnest(targets) FROM keyed)"""),
+        SELECT DISTINCT pair, pair_key, side, split_part(m, '/', -1) AS dataset_name FROM (
+          SELECT pair, pair_key, 'p' AS side, unnest(sources) AS m FROM keyed
+          UNION ALL SELECT pair, pair_key, 'q', unnest(targets) FROM keyed)"""),
     "unified": (["lines", "hosts"], """
         SELECT dataset_name, domain, count(*) AS url_count FROM lines GROUP BY 1, 2
         UNION ALL

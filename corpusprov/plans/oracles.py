@@ -36,17 +36,17 @@ def _kl(p: str, q: str) -> str:
 
 
 def _kl_pairs(counts: str, merge: bool, places: int) -> str:
-    group = "GROUP BY 1, 2, 3" if merge else "GROUP BY 1, 2, 3, u.dataset_name"
+    group = "GROUP BY 1, 2, 3, 4" if merge else "GROUP BY 1, 2, 3, 4, u.dataset_name"
     return f"""
-    , rows AS (SELECT m.pair_key, m.side, u.domain, sum(u.url_count)::DOUBLE AS n
+    , rows AS (SELECT m.pair, m.pair_key, m.side, u.domain, sum(u.url_count)::DOUBLE AS n
                FROM {counts} u JOIN members m ON u.dataset_name = m.dataset_name {group}),
-    probs AS (SELECT *, n / sum(n) OVER (PARTITION BY pair_key, side) AS pr FROM rows)
+    probs AS (SELECT *, n / sum(n) OVER (PARTITION BY pair, side) AS pr FROM rows)
     SELECT p.pair_key, round(sum(p.pr * ln(p.pr / coalesce(q.pr, 1e-12))), {places})
            AS kl_divergence
     FROM (SELECT * FROM probs WHERE side = 'p') p
     LEFT JOIN (SELECT * FROM probs WHERE side = 'q') q
-      ON p.pair_key = q.pair_key AND p.domain = q.domain
-    GROUP BY p.pair_key"""
+      ON p.pair = q.pair AND p.domain = q.domain
+    GROUP BY p.pair, p.pair_key"""
 
 
 def _thresholds() -> str:

@@ -280,21 +280,21 @@ def kl_divergence_hosts(spark, sf):
 
 @query
 def kl_all_pairs(spark, sf):
-    out = div.kl_all_pairs(_domain_level(spark, sf), fx.pairs(spark, sf)).drop("pair_id")
-    return rounded(out, "kl_divergence")
+    out = div.kl_all_pairs(_domain_level(spark, sf), fx.pairs(spark, sf), known=fx.dataset_names(spark, sf))
+    return rounded(out.drop("pair_id"), "kl_divergence")
 
 
 @query
 def kl_all_pairs_hosts(spark, sf):
-    out = div.kl_all_pairs(_host_level(spark, sf), fx.pairs(spark, sf)).drop("pair_id")
-    return rounded(out, "kl_divergence")
+    out = div.kl_all_pairs(_host_level(spark, sf), fx.pairs(spark, sf), known=fx.dataset_names(spark, sf))
+    return rounded(out.drop("pair_id"), "kl_divergence")
 
 
 @query
 def kl_all_pairs_unmerged(spark, sf):
     counts = _host_level(spark, sf, merge=False)
-    out = div.kl_all_pairs(counts, fx.pairs(spark, sf), merge=False).drop("pair_id")
-    return rounded(out, "kl_divergence", places=6)
+    out = div.kl_all_pairs(counts, fx.pairs(spark, sf), merge=False, known=fx.dataset_names(spark, sf))
+    return rounded(out.drop("pair_id"), "kl_divergence", places=6)
 
 
 @query

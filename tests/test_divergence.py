@@ -109,6 +109,25 @@ def test_hot_domain_is_combined_before_the_shuffle(spark):
     assert "SinglePartition" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("merge", [True, False])
+def test_counts_are_shuffled_once_on_the_domain(spark, merge):
+    counts = spark.createDataFrame([("a", "x", 1), ("b", "x", 2)], SCHEMA)
+    out = div.kl_all_pairs(counts, div.pairs_frame(spark, [("a", "b"), ("b", "a")]), merge)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning(domain" in x]
+    assert len(exchanges) == 1 and "hashpartitioning(pair#" in plan and ", domain#" not in "".join(
+        x for x in plan.splitlines() if "hashpartitioning(pair" in x)
+
+
+def test_names_are_looked_for_where_they_are_known(spark):
+    counts = spark.createDataFrame([("a", "x", 1)], SCHEMA)
+    known = spark.createDataFrame([("a", 1), ("b", 2)], "dataset_name string, other int")
+    pairs = div.pairs_frame(spark, [("a", "b")])
+    assert div.kl_all_pairs(counts, pairs, known=known).count() == 1
+    with pytest.raises(ValueError, match="b"):
+        div.kl_all_pairs(counts, pairs, known=known.where("other = 1"))
+
+
 def test_pairs_that_share_a_label_stay_apart(spark, tmp_path):
     rows = [("CC_MAIN_1", "x", 1), ("CC_MAIN_2", "y", 1), ("CC_MAIN_3", "x", 3), ("CC_MAIN_4", "y", 5), ("c", "x", 1)]
     counts = spark.createDataFrame(rows, SCHEMA)

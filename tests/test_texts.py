@@ -33,7 +33,7 @@ def test_mentions(spark, rows, monkeypatch, small):
     docs = spark.createDataFrame(DOCS, "id int, readme string")
     terms = spark.createDataFrame([*TERMS, ("o/empty", ""), ("o/null", None)], "tid string, name string")
     if not small:
-        monkeypatch.setattr(men, "is_small", lambda df: False)
+        monkeypatch.setattr(men, "BROADCAST_BYTES", 0)
     got = men.find_mentions(docs, terms, "id", "readme", "tid", "name")
     assert rows(got) == brute_mentions()
     assert "Arrow" not in got._jdf.queryExecution().toString() and "Python" not in got._jdf.queryExecution().toString()
