@@ -1,4 +1,4 @@
-"""Repeatable samples and clusters of domains by count.
+"""Repeatable samples.
 
 Samples order rows by a hash of their key and a seed, so that a rerun, on any number of
 executors, takes the same rows.
@@ -6,19 +6,11 @@ executors, takes the same rows.
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprov.operators.concentration import count_histogram
 from corpusprov.operators.ordering import top_n_per_group
 
-# Range of cluster numbers to try, and the number used in the end.
-CLUSTER_RANGE = range(3, 11)
-CLUSTERS = 7
-
 
 def shuffle_key(keys: list[str], seed: int = 42, digest: bool = False) -> Column:
     """Pseudo-random order of rows. ``digest`` uses MD5, which other engines have as well."""
@@ -38,34 +30,3 @@ def stratified_sample(df: DataFrame, bucket: str, n: int, keys: list[str], seed:
     """n random rows of each bucket, or all of a smaller one."""
     order = [shuffle_key(keys, seed, digest), *[F.col(k) for k in keys]]
     return top_n_per_group(df, [bucket], order, n)
-
-
-def _features(hist: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=["x"], outputCol="features").transform(hist)
-
-
-def _bisecting(k: int, seed: int) -> BisectingKMeans:
-    return BisectingKMeans(k=k, seed=seed, featuresCol="features", weightCol="m",
-                           predictionCol="cluster", distanceMeasure="euclidean")
-
-
-def cluster_ranges(counts: DataFrame, k: int = CLUSTERS, seed: int = 42,
-                   value: str = "url_count") -> DataFrame:
-    """Smallest and largest count of each of k clusters of domains.
-
-    Every domain takes part: each distinct count is one point, weighted by its domains.
-    """
-    data = _features(count_histogram(counts, value=value))
-    labelled = _bisecting(k, seed).fit(data).transform(data)
-    return labelled.groupBy("cluster").agg(
-        F.min("x").alias("min_count"), F.max("x").alias("max_count"), F.sum("m").alias("n_domains"))
-
-
-def silhouettes(counts: DataFrame, ks=CLUSTER_RANGE, seed: int = 42,
-                value: str = "url_count") -> dict[int, float]:
-    """Silhouette (squared Euclidean) of each number of clusters."""
-    data = _features(count_histogram(counts, value=value)).persist()
-    judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", weightCol="m")
-    scores = {k: judge.evaluate(_bisecting(k, seed).fit(data).transform(data)) for k in ks}
-    data.unpersist()
-    return scores

@@ -102,8 +102,32 @@ _CUT_CASE = ("CASE " + " ".join(
     + " END")
 
 
+# Least squares over all borders of runs of counts, one number of clusters after the other.
+_CLUSTERS = """
+    , points AS (SELECT row_number() OVER (ORDER BY url_count) AS j, url_count::DOUBLE AS x, count(*)::DOUBLE AS m
+                 FROM skewed_all GROUP BY url_count),
+    sums AS MATERIALIZED (
+      SELECT 0::BIGINT AS j, 0::DOUBLE AS n, 0::DOUBLE AS s, 0::DOUBLE AS t UNION ALL
+      SELECT j, sum(m) OVER w, sum(m * x) OVER w, sum(m * x * x) OVER w FROM points WINDOW w AS (ORDER BY j)),
+    fill AS (
+      SELECT 1 AS k, j, {'v': t - s * s / n, 'i': 0::BIGINT} AS best FROM sums WHERE j > 0
+      UNION ALL
+      SELECT any_value(f.k) + 1, b.j,
+             min({'v': f.best.v + ((b.t - a.t) - (b.s - a.s) * (b.s - a.s) / (b.n - a.n)), 'i': f.j})
+      FROM fill f JOIN sums a ON a.j = f.j JOIN sums b ON b.j > f.j WHERE f.k < 10 GROUP BY b.j),
+    back AS (
+      SELECT k AS total, k, j, best.i AS i FROM fill WHERE j = (SELECT max(j) FROM sums) AND k BETWEEN 3 AND 10
+      UNION ALL
+      SELECT b.total, f.k, f.j, f.best.i FROM back b JOIN fill f ON f.k = b.k - 1 AND f.j = b.i WHERE b.k > 1),
+    labelled AS (SELECT b.total AS k, b.k - 1 AS cluster, p.x, p.m FROM back b JOIN points p ON p.j > b.i AND p.j <= b.j)"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = with_ctes
+
+    def recursive(names: list[str], body: str) -> str:
+        return w(names, body).replace("WITH ", "WITH RECURSIVE ", 1)
+
     return {
         "scan_parquet_urls": "SELECT url FROM pages WHERE url IS NOT NULL",
         "url_domain_table": w(["urls"], "SELECT url, domain FROM urls"),
@@ -268,6 +292,20 @@ def oracle_sql() -> dict[str, str]:
             SELECT dataset_name, count(*) AS n_domains, round(avg(url_count), 9) AS mean_urls,
                    median(url_count)::DOUBLE AS median_urls, max(url_count) AS max_urls
             FROM skewed GROUP BY 1"""),
+        "cluster_ranges": recursive(["skewed_all"], _CLUSTERS + """
+            SELECT CAST(cluster AS INT) AS cluster, CAST(min(x) AS BIGINT) AS min_count, CAST(max(x) AS BIGINT) AS max_count,
+                   CAST(sum(m) AS BIGINT) AS n_domains FROM labelled WHERE k = 7 GROUP BY cluster"""),
+        "cluster_choice": recursive(["skewed_all"], _CLUSTERS + """
+            , inside AS (SELECT a.k, a.cluster, a.x, any_value(a.m) AS m, sum(b.m * abs(a.x - b.x)) AS d, sum(b.m) AS n
+                         FROM labelled a JOIN labelled b USING (k, cluster) GROUP BY a.k, a.cluster, a.x),
+            outside AS (SELECT k, x, min(d) AS b FROM (
+                          SELECT a.k, a.x, sum(b.m * abs(a.x - b.x)) / sum(b.m) AS d FROM labelled a
+                          JOIN labelled b ON a.k = b.k AND a.cluster <> b.cluster GROUP BY a.k, a.x, b.cluster)
+                        GROUP BY k, x),
+            scored AS (SELECT k, sum(m * CASE WHEN n = 1 THEN 0 ELSE (b - d / (n - 1)) / greatest(b, d / (n - 1)) END)
+                              / sum(m) AS silhouette FROM inside JOIN outside USING (k, x) GROUP BY k)
+            SELECT CAST(k AS INT) AS k, round(silhouette, 6) AS silhouette,
+                   row_number() OVER (ORDER BY silhouette DESC, k) = 1 AS chosen FROM scored"""),
         "cut_bucket_counts": w(["skewed_all"], " UNION ALL ".join(
             f"SELECT '{name}' AS bucket, count(*) FILTER (url_count > {lo} AND url_count <= {hi})"
             f" AS n_domains FROM skewed_all" for name, lo, hi in _CUTS)),

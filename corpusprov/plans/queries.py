@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusprov.functions.domains import host_to_domain, register_domain_functions, with_host
 from corpusprov.functions.names import clean_name, output_name, pair_key
 from corpusprov.functions.urls import dict_text_url, json_url
+from corpusprov.operators import clusters as clu
 from corpusprov.operators import concentration as conc
 from corpusprov.operators import counts as cnt
 from corpusprov.operators import divergence as div
@@ -365,7 +366,12 @@ def cut_bucket_counts(spark, sf):
 
 @query
 def cluster_ranges(spark, sf):
-    return sam.cluster_ranges(fx.skewed_all(spark, sf))
+    return clu.cluster_ranges(fx.skewed_all(spark, sf))
+
+
+@query
+def cluster_choice(spark, sf):
+    return rounded(clu.silhouettes(fx.skewed_all(spark, sf)), "silhouette", places=6)
 
 
 # Sections and years

@@ -28,7 +28,7 @@ def con():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(plans.queries()) - set(plans.oracle_sql()) == {"cluster_ranges"}
+    assert set(plans.queries()) == set(plans.oracle_sql())
 
 
 @needs_data

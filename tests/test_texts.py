@@ -203,12 +203,3 @@ def test_samples_repeat_on_any_layout(spark):
     out = sam.stratified_sample(df, "b", 7, ["k"]).toPandas()
     assert out.groupby("b").size().to_dict() == {0: 7, 1: 7}
     assert set(out["k"]) == set(sam.stratified_sample(df.repartition(3), "b", 7, ["k"]).toPandas()["k"])
-
-
-def test_clusters(spark):
-    counts = spark.createDataFrame(
-        pd.DataFrame({"url_count": [1, 2, 3] * 5 + [100, 101] * 3 + [5000, 5001]}))
-    got = sorted(tuple(r)[1:] for r in sam.cluster_ranges(counts, k=3).collect())
-    assert got == [(1, 3, 15), (100, 101, 6), (5000, 5001, 2)]
-    scores = sam.silhouettes(counts, range(2, 5))
-    assert max(scores, key=scores.get) == 3
