@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusprov.operators.ordering import broadcast_if_small
+
 # Common public suffixes of two or more labels, wildcard rules and exceptions.
 # A single-label suffix (com, org, de, ...) needs no entry: see SuffixRules.default_rule.
 COMMON_SUFFIXES = """
@@ -117,6 +119,15 @@ class SuffixRules:
         rules = [ln.split()[0] for ln in lines if ln and not ln.startswith("//")]
         return cls.from_rules(rules, default_rule=default_rule)
 
+    @classmethod
+    def from_table(cls, rules: DataFrame, column: str = "rule", default_rule: bool = True,
+                   most: int = 100_000) -> SuffixRules:
+        """Rules from a column of a table. A table of more than ``most`` is for ``domains_by_join``."""
+        rows = rules.select(column).where(F.col(column).isNotNull()).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} suffix rules: join them with domains_by_join")
+        return cls.from_rules([r[0] for r in rows], default_rule=default_rule)
+
     def by_depth(self, kind: str) -> dict[int, list[str]]:
         out = defaultdict(list)
         for name in sorted(getattr(self, kind)):
@@ -124,6 +135,12 @@ class SuffixRules:
         return dict(out)
 
 
+def _named(rules: SuffixRules | None) -> SuffixRules:
+    if rules is None:
+        raise ValueError("say which suffixes count: SuffixRules.from_file, from_table, from_rules or common()")
+    return rules
+
+
 def _clean_host(host: str, keep_case: bool) -> str:
     host = f"trim({host})" if keep_case else f"lower(trim({host}))"
     return f"nullif(trim(TRAILING '.' FROM {host}), '')"
@@ -188,7 +205,7 @@ def _domain_case(h: str, rules: SuffixRules | None, strict_parity: bool, tail=No
 
     Both are repeated, so they should be columns or variables.
     """
-    rules = rules or SuffixRules.common()
+    rules = _named(rules)
     tail = tail or (lambda n: _last_labels(h, n))
     # Only a last label that begins with a digit is worth the full test for an IPv4 address.
     is_ip = (
@@ -240,7 +257,7 @@ def bind(df: DataFrame, **values: Column) -> DataFrame:
 def _bound_domain(df: DataFrame, host: str, domain: str, rules: SuffixRules | None,
                   strict_parity: bool) -> DataFrame:
     """Domain of a host column, with the host's tails bound first."""
-    rules = rules or SuffixRules.common()
+    rules = _named(rules)
     depths = [n for k in ("plain", "wildcard", "exception") for n in rules.by_depth(k)]
     tails = {f"_tail{n}": F.expr(_last_labels(f"`{host}`", n))
              for n in range(1, max([*depths, 1]) + 3)}
@@ -267,7 +284,10 @@ def with_domain(
     host: str = "host",
     domain: str = "domain",
 ) -> DataFrame:
-    """Add host and registered-domain columns to a table of URLs (see ``domain_sql``)."""
+    """Add host and registered-domain columns to a table of URLs (see ``domain_sql``).
+
+    ``rules`` must be given: which suffixes count decides what a domain is.
+    """
     found = with_host(df, url, strict_parity, host)
     return _bound_domain(found, host, domain, rules, strict_parity)
 
@@ -279,22 +299,57 @@ def host_to_domain(df: DataFrame, host: str, domain: str = "domain",
     return _bound_domain(folded, "_host", domain, rules, False).drop("_host")
 
 
+def domains_by_join(df: DataFrame, host: str, rules: DataFrame, column: str = "rule",
+                    domain: str = "domain", default_rule: bool = True) -> DataFrame:
+    """Add the registered domain of a host column by a join with a table of suffix rules.
+
+    Gives what ``with_domain`` gives with these rules, for a list of any length. Each distinct
+    host meets the rules with each of its ends, as many as the longest rule has labels, and its
+    longest match counts, or its exception. The rules are broadcast after a check of their
+    size; else the ends are shuffled to them.
+    """
+    rule = F.lower(F.trim(F.col(f"`{column}`")))
+    wild, exception = F.startswith(rule, F.lit("*.")), F.startswith(rule, F.lit("!"))
+    key = F.when(wild, F.substr(rule, F.lit(3))).when(exception, F.substr(rule, F.lit(2))).otherwise(rule)
+    entries = rules.where(rule != "").select(
+        key.alias("key"), exception.alias("exception"), wild.alias("wild"),
+        (F.size(F.split(key, r"\.")) + F.when(wild, 1).when(exception, -1).otherwise(0)).alias("suffix")).distinct()
+    deepest = entries.agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 0
+    hosts = df.select(F.lower(F.col(f"`{host}`")).alias("h")).where("h is not null").distinct()
+    hosts = hosts.withColumn("labels", F.size(F.split("h", r"\.")))
+    ends = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.least("labels", F.lit(deepest)))),
+        lambda n: F.array_join(F.slice(F.split("h", r"\."), -n, n), "."))
+    met = hosts.select("h", "labels", F.explode(ends).alias("key")).join(broadcast_if_small(entries), "key")
+    met = met.where(~F.col("wild") | (F.col("labels") >= F.col("suffix")))
+    best = met.groupBy("h").agg(F.max(F.struct("exception", "suffix"))["suffix"].alias("suffix"))
+    n = F.coalesce("suffix", F.lit(1 if default_rule else None).cast("int"))
+    parts = F.split("h", r"\.")
+    found = F.when(F.size(parts) > n, F.array_join(F.slice(parts, -(n + 1), n + 1), "."))
+    is_ip = F.startswith("h", F.lit("[")) | F.expr(f"h RLIKE '{_IPV4}'")
+    known = hosts.join(best, "h", "left").select("h", F.when(~is_ip, found).alias(domain))
+    return df.drop(domain).join(known, F.lower(F.col(f"`{host}`")) == F.col("h"), "left").drop("h")
+
+
 def register_domain_functions(
     spark: SparkSession, rules: SuffixRules | None = None, strict_parity: bool = False
 ) -> None:
     """Make ``url_host(url)`` and ``extract_domain(url)`` callable from SQL.
 
-    They are SQL functions, so the optimizer inlines them; a NULL URL gives NULL.
+    They are SQL functions, so the optimizer inlines them; a NULL URL gives NULL. What is used
+    many times is an argument of an inner function, so it is worked out once, by plain cuts.
     """
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION url_host(url STRING) RETURNS STRING "
-        f"RETURN {url_host_sql('url', keep_case=strict_parity)}"
-    )
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION host_domain(host STRING) RETURNS STRING "
-        f"RETURN {domain_sql('host', rules, strict_parity)}"
-    )
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION extract_domain(url STRING) RETURNS STRING "
-        "RETURN CASE WHEN url IS NOT NULL THEN host_domain(url_host(url)) END"
-    )
+    rules = _named(rules)
+    depths = [n for k in ("plain", "wildcard", "exception") for n in rules.by_depth(k)]
+    tails = range(1, max([*depths, 1]) + 3)
+
+    def function(name: str, parameters: list[str], body: str) -> None:
+        listed = ", ".join(f"{p} STRING" for p in parameters)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({listed}) RETURNS STRING RETURN {body}")
+
+    function("_authority_host", ["authority"], _authority_host("authority", strict_parity))
+    function("url_host", ["url"], f"_authority_host({_authority_sql('url')})")
+    case = _domain_case("host", rules, strict_parity, lambda n: f"tail{n}")
+    function("_tails_domain", ["host", *[f"tail{n}" for n in tails]], case)
+    function("host_domain", ["host"], f"_tails_domain(host, {', '.join(_last_labels('host', n) for n in tails)})")
+    function("extract_domain", ["url"], "CASE WHEN url IS NOT NULL THEN host_domain(url_host(url)) END")

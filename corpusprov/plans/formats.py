@@ -61,7 +61,7 @@ def list_manifest(spark, sf):
 @query
 def compacted(spark, sf):
     """A URL table of two batches in fewer files; it keeps dataset, writer and batch."""
-    urls, path = extract_urls(fx.table(spark, sf, "pages"), "url"), _fresh(spark, "urls")
+    urls, path = extract_urls(fx.table(spark, sf, "pages"), "url", fx.SUFFIXES), _fresh(spark, "urls")
     early = F.coalesce(F.col("domain") < "m", F.lit(False))
     write_url_batch(urls.where(early), f"{path}/batches", "pages", 1)
     write_url_batch(urls.where(~early), f"{path}/batches", "pages", 2)
@@ -75,7 +75,7 @@ def url_stream(spark, sf):
     """URLs of the pages, taken in by the file stream."""
     path = _fresh(spark, "url-stream")
     ingest_urls(spark, f"{sf}/page[s].parquet", f"{path}/urls", f"{path}/checkpoint",
-                fx.table(spark, sf, "pages").schema, "pages")
+                fx.table(spark, sf, "pages").schema, "pages", fx.SUFFIXES)
     return read_datasets(spark, f"{path}/urls", ["pages"]).select("url", "domain", "dataset_name")
 
 

@@ -9,18 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprov.functions.domains import with_domain
+from corpusprov.functions.domains import SuffixRules, with_domain
 from corpusprov.functions.urls import path_facets
 from corpusprov.operators.counts import domain_counts
 
 
+#: The hosts of the tables end with common suffixes.
+SUFFIXES = SuffixRules.common()
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def urls(spark: SparkSession, sf: str) -> DataFrame:
     """Page URLs; the language in the path names the dataset."""
-    pages = with_domain(table(spark, sf, "pages").select("url"))
+    pages = with_domain(table(spark, sf, "pages").select("url"), rules=SUFFIXES)
     lang = F.get(F.split("url", "/"), F.lit(3))
     return pages.withColumn("dataset_name", F.concat(F.lit("pages_"), lang))
 
@@ -49,7 +53,7 @@ def line_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """The derived corpus with hosts and domains."""
-    return with_domain(line_urls(spark, sf))
+    return with_domain(line_urls(spark, sf), rules=SUFFIXES)
 
 
 def _crawl() -> F.Column:

@@ -58,12 +58,12 @@ def scan_parquet_urls(spark, sf):
 
 @query
 def url_domain_table(spark, sf):
-    return extract_urls(fx.table(spark, sf, "pages"), "url")
+    return extract_urls(fx.table(spark, sf, "pages"), "url", fx.SUFFIXES)
 
 
 @query
 def extract_domain_sql(spark, sf):
-    register_domain_functions(spark)
+    register_domain_functions(spark, fx.SUFFIXES)
     return fx.line_urls(spark, sf).select(
         "url", F.expr("url_host(url)").alias("host"), F.expr("extract_domain(url)").alias("domain"))
 
@@ -136,7 +136,7 @@ def domain_counts_lines(spark, sf):
 
 @query
 def domain_counts_unified(spark, sf):
-    crawls = host_to_domain(fx.hosts(spark, sf), "url_host_name")
+    crawls = host_to_domain(fx.hosts(spark, sf), "url_host_name", rules=fx.SUFFIXES)
     crawls = crawls.drop("url_host_name").withColumnRenamed("domain", "url_host_name")
     return cnt.unify_counts(fx.lines(spark, sf), crawls)
 
@@ -603,5 +603,5 @@ def streamed_domain_counts(spark, sf):
     """Pages taken in by the file stream, counted batch by batch, then added up."""
     folder = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
     ingest_counts(spark, f"{sf}/page[s].parquet", f"{folder}/counts", f"{folder}/checkpoint",
-                  fx.table(spark, sf, "pages").schema, "pages")
+                  fx.table(spark, sf, "pages").schema, "pages", fx.SUFFIXES)
     return running_counts(spark, f"{folder}/counts")

@@ -139,7 +139,7 @@ def rules_frame(spark: SparkSession) -> DataFrame:
     return df.withColumns({"folder": folder, "output": output_name("dataset", "variant")})
 
 
-def extract_urls(raw: DataFrame, rule: ExtractionRule | str, suffixes: SuffixRules | None = None,
+def extract_urls(raw: DataFrame, rule: ExtractionRule | str, suffixes: SuffixRules,
                  strict_parity: bool = False) -> DataFrame:
     """(url, domain) of every raw row that has a URL."""
     sql = rule if isinstance(rule, str) else rule.url_sql(strict_parity)
@@ -148,7 +148,7 @@ def extract_urls(raw: DataFrame, rule: ExtractionRule | str, suffixes: SuffixRul
 
 
 def extract_batch(spark: SparkSession, batched: DataFrame, batch: int, rule: ExtractionRule,
-                  source: str, target: str, suffixes: SuffixRules | None = None) -> bool:
+                  source: str, target: str, suffixes: SuffixRules) -> bool:
     """Extract the URLs of one batch of files into its partition of the URL table.
 
     ``batched`` is the batch list of one dataset. False means that there is no such batch.

@@ -11,7 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprov.functions.domains import with_domain
+from corpusprov.functions.domains import SuffixRules, with_domain
 from corpusprov.operators.counts import domain_counts
 from corpusprov.operators.manifest import BATCH_BYTES
 from corpusprov.sources.sinks import write_url_batch
@@ -34,16 +34,16 @@ def _stream_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
 
 
-def _urls(stream: DataFrame, url_sql: str) -> DataFrame:
+def _urls(stream: DataFrame, url_sql: str, suffixes: SuffixRules) -> DataFrame:
     urls = stream.select(F.expr(url_sql).alias("url")).where(F.col("url").isNotNull())
-    return with_domain(urls)
+    return with_domain(urls, rules=suffixes)
 
 
 def ingest_urls(spark: SparkSession, source: str, target: str, checkpoint: str, schema,
-                dataset_name: str, url_sql: str = "url", fmt: str = "parquet",
+                dataset_name: str, suffixes: SuffixRules, url_sql: str = "url", fmt: str = "parquet",
                 max_bytes: int = BATCH_BYTES) -> None:
     """Extract (url, domain) of all new files, one ``batch=`` partition per batch."""
-    urls = _urls(_file_stream(spark, source, schema, fmt, max_bytes), url_sql)
+    urls = _urls(_file_stream(spark, source, schema, fmt, max_bytes), url_sql, suffixes)
 
     def save(batch: DataFrame, number: int) -> None:
         write_url_batch(batch.select("url", "domain"), target, dataset_name, number,
@@ -53,10 +53,10 @@ def ingest_urls(spark: SparkSession, source: str, target: str, checkpoint: str,
 
 
 def ingest_counts(spark: SparkSession, source: str, target: str, checkpoint: str, schema,
-                  dataset_name: str, url_sql: str = "url", fmt: str = "parquet",
+                  dataset_name: str, suffixes: SuffixRules, url_sql: str = "url", fmt: str = "parquet",
                   max_bytes: int = BATCH_BYTES) -> None:
     """Count the domains of all new files, one partition of partial counts per batch."""
-    urls = _urls(_file_stream(spark, source, schema, fmt, max_bytes), url_sql)
+    urls = _urls(_file_stream(spark, source, schema, fmt, max_bytes), url_sql, suffixes)
 
     def save(batch: DataFrame, number: int) -> None:
         write_url_batch(domain_counts(batch), target, dataset_name, number,

@@ -3,6 +3,7 @@ import json
 import lzma
 
 import pytest
+from corpusprov.functions import SuffixRules
 from corpusprov.operators import manifest as man
 from corpusprov.sources import (
     append_results, compact, csv_to_parquet, dataset_slice, extract_batch, extract_urls, find_rule, host_urls,
@@ -13,6 +14,7 @@ from corpusprov.sources import (
 from corpusprov.sources.rules import all_rules
 from corpusprov.streaming import ingest_counts, ingest_urls, running_counts
 
+COMMON = SuffixRules.common()
 URLS = [f"https://www.site{i}.co.uk/p{i}" for i in range(5)]
 
 
@@ -62,8 +64,8 @@ def test_from_files_to_url_table(spark, tmp_path):
     numbers = sorted(r.batch for r in batched.select("batch").distinct().collect())
     assert numbers[0] == 1 and len(numbers) > 1
     for n in numbers:
-        assert extract_batch(spark, batched, n, rule, root, target)
-    assert not extract_batch(spark, batched, 99, rule, root, target)
+        assert extract_batch(spark, batched, n, rule, root, target, COMMON)
+    assert not extract_batch(spark, batched, 99, rule, root, target, COMMON)
     got = read_datasets(spark, target, ["madlad-400_urls_clean"])
     assert sorted(r.url for r in got.collect()) == URLS
 
@@ -106,7 +108,7 @@ def test_every_rule_reads_its_field(spark, tmp_path):
         path = tmp_path / f"{i}.jsonl"
         path.write_text(ndjson([raw, {"other": 1}]))
         df = read_corpus(spark, str(path), ".jsonl", rule.read_schema())
-        assert [tuple(r) for r in extract_urls(df, rule).collect()] == [(url, "site0.co.uk")], rule
+        assert [tuple(r) for r in extract_urls(df, rule, COMMON).collect()] == [(url, "site0.co.uk")], rule
     frame = {r.output: r.folder for r in rules_frame(spark).collect()}
     assert frame["c4_urls_multilingual"] == "allenai_c4_multilingual"
     assert frame["dclm-baseline-1.0-parquet_urls"] == "mlfoundations_dclm_baseline_1_0_parquet_default"
@@ -115,8 +117,8 @@ def test_every_rule_reads_its_field(spark, tmp_path):
 def test_dict_text_without_a_url(spark):
     raw = spark.createDataFrame([("{'a': 1}",)], "source_other string")
     rule = find_rule("zyphra/zyda")
-    assert extract_urls(raw, rule).count() == 0
-    assert [tuple(r) for r in extract_urls(raw, rule, strict_parity=True).collect()] == [("", ".")]
+    assert extract_urls(raw, rule, COMMON).count() == 0
+    assert [tuple(r) for r in extract_urls(raw, rule, COMMON, strict_parity=True).collect()] == [("", ".")]
 
 
 def test_manifest_and_selected_files(spark, tmp_path, rows):
@@ -198,7 +200,7 @@ def test_stream_takes_each_file_once(spark, tmp_path, rows):
         (source / name).write_text(ndjson({"meta": {"url": u}} for u in urls))
 
     def run():
-        args = dict(schema="meta struct<url: string>", dataset_name="ds", url_sql="meta.url",
+        args = dict(schema="meta struct<url: string>", dataset_name="ds", suffixes=COMMON, url_sql="meta.url",
                     fmt="json", max_bytes=1)
         ingest_urls(spark, str(source), out, cp, **args)
         ingest_counts(spark, str(source), counts, cp2, **args)
