@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusprov.llm.arrays import Substrings, runs, slices
+from corpusprov.llm.tokens import give_back
 
 GRAMS, WORDS = 1 << 17, 1 << 18
 #: Bytes of the texts whose letters are held at once, and of those that Viterbi takes together,
@@ -221,6 +222,7 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 12.0, spans:
         return pa.StructArray.from_arrays(out, names=added)
 
     def label(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         for column in texts:
             batch = pa.RecordBatch.from_arrays([column], ["_text"])
             parts = [found(part, sent.value) for part in slices(batch, "_text", VITERBI_BYTES)]

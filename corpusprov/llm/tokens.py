@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from functools import lru_cache
 from itertools import chain
@@ -143,3 +145,18 @@ class Encoder(dict):
 def encoder(path: str) -> Encoder:
     """One encoder for a Python worker, whichever of its tasks asks."""
     return Encoder(path)
+
+
+def give_back() -> None:
+    """Free what earlier tasks of other operators left in this Python worker.
+
+    Workers are used again from stage to stage, with the encoders that they keep and with
+    memory that the allocators hold.
+    """
+    encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
