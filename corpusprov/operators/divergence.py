@@ -155,9 +155,12 @@ def datasets_of(pairs: list[tuple[list[str], list[str]]]) -> list[str]:
     return sorted(names)
 
 
-def update_results(counts: DataFrame, pairs: DataFrame, path: str) -> None:
-    """Compute the pairs that the result table at ``path`` does not have yet, and add them."""
+def update_results(counts: DataFrame, pairs: DataFrame, path: str, known: DataFrame | None = None) -> None:
+    """Compute the pairs that the result table at ``path`` does not have yet, and add them.
+
+    Read the table with ``sources.current_results``: two runs at once can both add a pair.
+    """
     stored = read_results(counts.sparkSession, path, RESULT_SCHEMA).select("pair_id")
     keyed = pairs.withColumn("pair_id", pair_id("sources", "targets")).dropDuplicates(["pair_id"])
     todo = keyed.join(stored, "pair_id", "left_anti").drop("pair_id")
-    append_results(kl_all_pairs(counts, todo), path, "pair_id", RESULT_SCHEMA)
+    append_results(kl_all_pairs(counts, todo, known=known), path, "pair_id", RESULT_SCHEMA)

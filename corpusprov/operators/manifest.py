@@ -173,3 +173,8 @@ def requested_batch(batched: DataFrame, batch: int) -> DataFrame:
 
 def has_batches(batched: DataFrame) -> bool:
     return not batched.isEmpty()
+
+
+def batch_exists(batched: DataFrame, by: list[str], batch: int) -> DataFrame:
+    """``(by..., batch_exists)``: whether each group has a batch of that number."""
+    return batched.groupBy(*by).agg(F.max(F.col("batch") == batch).alias("batch_exists"))

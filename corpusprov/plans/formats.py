@@ -12,6 +12,7 @@ from corpusprov.plans import inputs as fx
 from corpusprov.plans.queries import _batched, _domain_level, query, rounded
 from corpusprov.sources.readers import list_files, read_corpus
 from corpusprov.sources.rules import extract_urls
+from corpusprov.sources.sinks import current_results
 from corpusprov.sources.sinks import compact, csv_to_parquet, write_batches, write_csv, write_url_batch
 from corpusprov.sources.tables import read_datasets
 from corpusprov.streaming import ingest_urls
@@ -91,7 +92,8 @@ def batch_lists(spark, sf):
 def kl_resume(spark, sf):
     """The stored results after a run of some pairs, then one of all pairs."""
     counts, pairs, path = _domain_level(spark, sf), fx.pairs(spark, sf), _fresh(spark, "results")
-    div.update_results(counts, pairs.where(F.size("sources") > 1), path)
-    div.update_results(counts, pairs, path)
-    stored = spark.read.schema(div.RESULT_SCHEMA).parquet(path)
+    known = fx.dataset_names(spark, sf)
+    div.update_results(counts, pairs.where(F.size("sources") > 1), path, known)
+    div.update_results(counts, pairs, path, known)
+    stored = current_results(spark, path, "pair_id", div.RESULT_SCHEMA)
     return rounded(stored.select("pair_key", "kl_divergence"), "kl_divergence")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusprov.operators.lineage import FAMILY_EDGES
 from corpusprov.plans.inputs import with_ctes
 from corpusprov.sources.rules import all_rules
 
@@ -102,6 +103,12 @@ _CUT_CASE = ("CASE " + " ".join(
     + " END")
 
 
+def _drawn() -> str:
+    """The hand-drawn edges as literal rows."""
+    edges = (line.split(" > ") for line in FAMILY_EDGES.strip().splitlines())
+    return ", ".join(f"('{a}', '{b}')" for a, b in edges)
+
+
 # Least squares over all borders of runs of counts, one number of clusters after the other.
 _CLUSTERS = """
     , points AS (SELECT row_number() OVER (ORDER BY url_count) AS j, url_count::DOUBLE AS x, count(*)::DOUBLE AS m
@@ -388,6 +395,21 @@ def oracle_sql() -> dict[str, str]:
                    round(sum(s) / 1e9 / count(*), 9) AS mean_gb
             FROM (SELECT dataset_name, batch, sum(size) AS s FROM batched GROUP BY 1, 2)
             GROUP BY 1"""),
+        "batch_exists": w(["batched"], """
+            SELECT dataset_name, max(batch = 3) AS batch_exists FROM batched GROUP BY 1"""),
+        "sample_scan": "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 100",
+        "sketched_distinct_hosts": w(["hosts"], """
+            SELECT dataset_name, count(DISTINCT url_host_name) AS n_hosts, true AS in_range FROM hosts GROUP BY 1
+            UNION ALL SELECT 'all', count(DISTINCT url_host_name), true FROM hosts"""),
+        "streamed_totals": w(["urls"], "SELECT 'pages' AS dataset_name, domain, "
+                             "count(*) AS url_count FROM urls GROUP BY 2"),
+        "family_edges": w(["pairs"], f"""
+            , edges AS (
+              SELECT DISTINCT CASE WHEN contains(s, '/CC') THEN 'Common Crawl' ELSE split_part(s, '/', -1) END AS source,
+                     split_part(targets[1], '/', -1) AS target FROM (SELECT targets, unnest(sources) AS s FROM pairs)),
+            drawn(source, target) AS (VALUES {_drawn()})
+            SELECT source, target, source IN (SELECT lower(replace(source, ' ', '-')) FROM edges) AS in_pairs FROM drawn
+            UNION ALL SELECT source, target, true FROM edges"""),
         "next_batch": w(["batched"], """
             SELECT dataset_name, min(batch) AS batch FROM batched b
             WHERE NOT EXISTS (SELECT 1 FROM batched d WHERE d.dataset_name = b.dataset_name

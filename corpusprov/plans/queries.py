@@ -25,9 +25,9 @@ from corpusprov.operators import timeline as tim
 from corpusprov.operators.ordering import shared_folder
 from corpusprov.plans import inputs as fx
 from corpusprov.sources import tables as tab
-from corpusprov.sources.readers import url_columns
+from corpusprov.sources.readers import sample_rows, url_columns
 from corpusprov.sources.rules import extract_urls, find_rule, rules_frame
-from corpusprov.streaming import ingest_counts, running_counts
+from corpusprov.streaming import current_totals, ingest_counts, ingest_totals, running_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -605,3 +605,46 @@ def streamed_domain_counts(spark, sf):
     ingest_counts(spark, f"{sf}/page[s].parquet", f"{folder}/counts", f"{folder}/checkpoint",
                   fx.table(spark, sf, "pages").schema, "pages", fx.SUFFIXES)
     return running_counts(spark, f"{folder}/counts")
+
+
+@query
+def streamed_totals(spark, sf):
+    """The same by totals that the stream keeps in its state."""
+    folder = f"{shared_folder(spark)}/totals-{uuid.uuid4().hex}"
+    ingest_totals(spark, f"{sf}/page[s].parquet", f"{folder}/totals", f"{folder}/checkpoint",
+                  fx.table(spark, sf, "pages").schema, "pages", fx.SUFFIXES)
+    return current_totals(spark, f"{folder}/totals")
+
+
+@query
+def sketched_distinct_hosts(spark, sf):
+    """Hosts of each snapshot and of all: exact, and whether the sketches' range holds it."""
+    hosts = fx.hosts(spark, sf)
+    sketches = cnt.distinct_sketches(hosts, ["dataset_name"])
+    every = cnt.distinct_of_sketches(sketches).withColumn("dataset_name", F.lit("all"))
+    ranges = cnt.distinct_of_sketches(sketches, ["dataset_name"]).unionByName(every)
+    exact = hosts.groupBy("dataset_name").agg(F.count_distinct("url_host_name").alias("n_hosts")).unionByName(
+        hosts.agg(F.count_distinct("url_host_name").alias("n_hosts")).withColumn("dataset_name", F.lit("all")))
+    return exact.join(ranges, "dataset_name").select(
+        "dataset_name", "n_hosts", F.col("n_hosts").between(F.col("low"), F.col("high")).alias("in_range"))
+
+
+@query
+def sample_scan(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    return sample_rows(docs, 100, ["doc_id"])
+
+
+@query
+def batch_exists(spark, sf):
+    return man.batch_exists(_batched(spark, sf), ["dataset_name"], 3)
+
+
+@query
+def family_edges(spark, sf):
+    """The hand-drawn tree beside the edges of the pairs, and which of its nodes they name."""
+    pairs = lin.lineage_edges(fx.pairs(spark, sf)).distinct()
+    drawn = lin.family_edges(spark)
+    named = pairs.select(F.lower(F.translate("source", " ", "-")).alias("source")).distinct()
+    marked = drawn.join(named.withColumn("in_pairs", F.lit(True)), "source", "left").na.fill(False, ["in_pairs"])
+    return marked.unionByName(pairs.withColumn("in_pairs", F.lit(True)))

@@ -19,6 +19,7 @@ from corpusprov.sources.sinks import (
     append_results,
     compact,
     csv_to_parquet,
+    current_results,
     read_results,
     write_batches,
     write_csv,
@@ -29,6 +30,6 @@ from corpusprov.sources.tables import dataset_slice, host_urls, read_datasets, t
 __all__ = [
     "list_files", "read_corpus", "read_xz_lines", "sample_rows", "scan_tables", "url_columns",
     "ExtractionRule", "extract_batch", "extract_urls", "find_rule", "rules_frame",
-    "append_results", "compact", "csv_to_parquet", "read_results", "write_batches", "write_csv", "write_url_batch",
+    "append_results", "compact", "csv_to_parquet", "current_results", "read_results", "write_batches", "write_csv", "write_url_batch",
     "dataset_slice", "host_urls", "read_datasets", "tagged",
 ]

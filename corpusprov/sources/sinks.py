@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -64,6 +64,17 @@ def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def current_results(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """Stored results, one row for each key: the first computed.
+
+    Two runs at once can both store a key; files are only ever added, so neither loses rows
+    of the other, and every reader takes the same one.
+    """
+    w = Window.partitionBy(key).orderBy("computed_at", F.xxhash64("*"))
+    ranked = read_results(spark, path, schema).withColumn("_rank", F.row_number().over(w))
+    return ranked.where("_rank = 1").drop("_rank")
+
+
 def append_results(results: DataFrame, path: str, key: str, schema: str) -> None:
     """Add results whose key is not stored yet."""
     stored = read_results(results.sparkSession, path, schema).select(key)

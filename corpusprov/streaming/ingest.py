@@ -70,3 +70,30 @@ def running_counts(spark: SparkSession, target: str) -> DataFrame:
     schema = "domain string, url_count bigint, dataset_name string, writer string, batch bigint"
     parts = spark.read.schema(schema).parquet(target)
     return parts.groupBy("dataset_name", "domain").agg(F.sum("url_count").alias("url_count"))
+
+
+def ingest_totals(spark: SparkSession, source: str, target: str, checkpoint: str, schema,
+                  dataset_name: str, suffixes: SuffixRules, url_sql: str = "url", fmt: str = "parquet",
+                  max_bytes: int = BATCH_BYTES) -> None:
+    """Keep the running total of each domain in the stream's state.
+
+    A batch reads its new files only, adds them to the state, and writes the totals that it
+    changed as a partition of its own, which it replaces when it is run again. After a restart
+    the state is that of the last batch that ended.
+    """
+    urls = _urls(_file_stream(spark, source, schema, fmt, max_bytes), url_sql, suffixes)
+
+    def save(batch: DataFrame, number: int) -> None:
+        write_url_batch(batch, target, dataset_name, number, writer=_stream_id(spark, checkpoint))
+
+    query = (domain_counts(urls).writeStream.outputMode("update").foreachBatch(save)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def current_totals(spark: SparkSession, target: str) -> DataFrame:
+    """The last total written of each domain, added up over streams."""
+    schema = "domain string, url_count bigint, dataset_name string, writer string, batch bigint"
+    parts = spark.read.schema(schema).parquet(target)
+    last = parts.groupBy("dataset_name", "writer", "domain").agg(F.max_by("url_count", "batch").alias("url_count"))
+    return last.groupBy("dataset_name", "domain").agg(F.sum("url_count").alias("url_count"))
