@@ -92,7 +92,7 @@ def encode_records(
         import zstandard
 
         compress, encode = zstandard.ZstdCompressor(level=level).compress, encoder(tokenizer)
-        file, number, held, names, sizes = 0, 0, [], [], []
+        file, number, held, names, sizes, total = 0, 0, [], [], [], 0
 
         def record() -> pa.RecordBatch:
             ids = np.concatenate(held)
@@ -116,10 +116,11 @@ def encode_records(
                     held += [ids[at[k] : at[k + 1]], end]
                     names.append(name)
                     sizes.append(int(at[k + 1] - at[k]) + 1)
-                    if sum(sizes) >= RECORD_IDS:
+                    total += sizes[-1]
+                    if total >= RECORD_IDS:
                         yield record()
                         number += 1
-                        held, names, sizes = [], [], []
+                        held, names, sizes, total = [], [], [], 0
         if names:
             yield record()
 

@@ -129,8 +129,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: float =
 
     lists = tiles.mapInArrow(select, "query_id bigint, grp int, top array<struct<neg:bigint,vec_id:bigint>>")
     best = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top")
-    while groups > 1:
+    while True:  # once at least, since shards of one group have a list each
         groups = -(-groups // FAN)
         lists = lists.groupBy("query_id", F.pmod("grp", F.lit(groups)).alias("grp")).agg(best)
+        if groups == 1:
+            break
     return lists.select("query_id", F.posexplode("top").alias("at", "x")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.neg")).alias("score"))
