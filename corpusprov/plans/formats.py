@@ -12,8 +12,7 @@ from corpusprov.plans import inputs as fx
 from corpusprov.plans.queries import _batched, _domain_level, query, rounded
 from corpusprov.sources.readers import list_files, read_corpus
 from corpusprov.sources.rules import extract_urls
-from corpusprov.sources.sinks import current_results
-from corpusprov.sources.sinks import compact, csv_to_parquet, write_batches, write_csv, write_url_batch
+from corpusprov.sources.sinks import compact, csv_to_parquet, current_results, write_batches, write_csv, write_url_batch
 from corpusprov.sources.tables import read_datasets
 from corpusprov.streaming import ingest_urls
 
