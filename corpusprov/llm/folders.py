@@ -22,6 +22,14 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 SIEVE_PARTS = 512
 
 
+def fresh(names: list[str], name: str) -> str:
+    """A column name like ``name`` that none of ``names`` equals, in capitals or not."""
+    taken = {c.lower() for c in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sieved(df: DataFrame, key: str, ids: DataFrame, name: str = "_likely") -> DataFrame:
     """Mark rows of ``df`` whose ``key`` may be among the one column of ``ids``.
 
@@ -33,13 +41,14 @@ def sieved(df: DataFrame, key: str, ids: DataFrame, name: str = "_likely") -> Da
         h = F.pmod(F.xxhash64(c), F.lit(SIEVE_PARTS * 32768))
         return F.floor(h / 32768).cast("int"), (h % 32768).cast("int")
 
+    part_of, bits_of = fresh(df.columns, "_part"), fresh(df.columns, "_bits")
     part, bit = place(F.col(ids.columns[0]))
     bits = F.broadcast(
-        ids.select(part.alias("_part"), bit.cast("long").alias("_bit"))
-        .groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+        ids.select(part.alias(part_of), bit.cast("long").alias("_bit"))
+        .groupBy(part_of).agg(F.bitmap_construct_agg("_bit").alias(bits_of)))
     part, bit = place(F.col(key))
-    held = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.conv(F.hex(F.substring(bits_of, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     mark = (F.floor(held / F.pow(F.lit(2), bit % 8)) % 2) == 1
     return (
-        df.withColumn("_part", part).join(bits, "_part", "left")
-        .withColumn(name, F.coalesce(mark, F.lit(False))).drop("_part", "_bits"))
+        df.withColumn(part_of, part).join(bits, part_of, "left")
+        .withColumn(name, F.coalesce(mark, F.lit(False))).drop(part_of, bits_of))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corpusprov.llm.arrays import Substrings, lower_ascii, mixed, runs, slices, text_bytes
 from corpusprov.llm.components import components
-from corpusprov.llm.folders import stored
+from corpusprov.llm.folders import fresh, stored
 
 #: n-grams and nodes of one flush at most (unless one text has more), and the number of
 #: nodes in a flush that makes an n-gram common.
@@ -456,8 +456,10 @@ def one_of_each(docs: DataFrame, n: int = 5) -> DataFrame:
     A null doc_id counts as smallest. Documents without words all stay. Rows are told
     apart by their place in ``docs``, which should be a table that is read again alike.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n)
-    placed = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
-    kept = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("least"))
-    return rows.join(kept.select(F.col("least._row").alias("_row")), "_row", "left_semi").drop("_row")
+    row = fresh(docs.columns, "row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    found = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), n)
+    placed = found.select(F.col("doc_id").alias("row"), "component_id").join(
+        rows.select(F.col(row).alias("row"), "doc_id"), "row")
+    kept = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    return rows.join(kept.select(F.col("least.row").alias(row)), row, "left_semi").drop(row)

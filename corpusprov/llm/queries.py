@@ -155,12 +155,13 @@ WITH RECURSIVE occ AS (
   SELECT doc_id, i, parts[i] AS raw, regexp_replace(parts[i], '^\\s+|\\s+$', '', 'g') AS line
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
         FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
-), lines AS (SELECT line, min(CAST(doc_id AS HUGEINT) * 1000000 + i) AS f FROM occ WHERE length(line) >= 20 GROUP BY line
+), lines AS (SELECT line, min(CAST(doc_id AS HUGEINT) * 1000000 + i) AS f FROM occ WHERE line <> '' GROUP BY line
 ), links AS (
   SELECT a.f AS x, b.f AS y FROM lines a JOIN lines b
     ON length(b.line) BETWEEN length(a.line) - 2 AND length(a.line) + 2 AND a.f <> b.f
   -- two edits leave the first, the last or the middle third of a line as it is
-  WHERE (a.line[1:length(a.line) // 3] = b.line[1:length(a.line) // 3]
+  WHERE length(a.line) >= 20 AND length(b.line) >= 20
+    AND (a.line[1:length(a.line) // 3] = b.line[1:length(a.line) // 3]
       OR a.line[-(length(a.line) // 3):] = b.line[-(length(a.line) // 3):]
       OR contains(b.line, a.line[length(a.line) // 3 + 1:length(a.line) - length(a.line) // 3 - 1]))
     AND levenshtein(a.line, b.line) <= 2
@@ -168,7 +169,7 @@ WITH RECURSIVE occ AS (
 ), head AS (SELECT x, min(y) AS h FROM reach GROUP BY x
 ), kept AS (
   SELECT o.*, l.f IS NOT NULL AND h <> CAST(doc_id AS HUGEINT) * 1000000 + i AS gone
-  FROM occ o LEFT JOIN lines l ON o.line = l.line AND length(o.line) >= 20 LEFT JOIN head ON head.x = l.f
+  FROM occ o LEFT JOIN lines l ON o.line = l.line LEFT JOIN head ON head.x = l.f
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
   sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_sha256

@@ -55,17 +55,31 @@ def test_line_classes_keep_their_first_line(spark, odd):
     assert got[2].text == "another line of quite other words" and got[2].n_lines == 3
     assert got[3].text == base[:-3]  # three edits away
     out = lines.dedup_lines(odd).collect()
-    assert len(out) == 8 and sum(r.n_removed for r in out) == 1  # the second long text
+    assert len(out) == 8 and sum(r.n_removed for r in out) == 2  # the second long text and short line
     assert next(r for r in out if r.doc_id is None).n_lines == 0
     assert lines.dedup_lines(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_line_links_equal_brute_force(spark, edits):
+def test_short_lines_go_where_they_are_equal_and_blank_ones_stay(spark):
+    rows = [(2, "yes\n\n \nno"), (1, "\tyes \n\nyes!\r"), (3, "yes"), (None, "no")]
+    names = ["_part", "_bits", "gone", "row", "ROW_", "_row", "_lines", "changed", "n_removed"]
+    df = spark.createDataFrame([(*r, *range(9)) for r in rows], f"{DOCS}, {', '.join(f'{c} int' for c in names)}")
+    got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    assert {i: (r.text, r.n_lines, r.n_removed) for i, r in got.items()} == {
+        None: ("no", 1, 0), 1: ("\tyes \n\nyes!\r", 3, 0), 2: ("\n ", 4, 2), 3: ("", 1, 1)}
+    assert all([r[c] for c in names[:-1]] == list(range(8)) for r in got.values())
+
+
+@pytest.mark.parametrize("edits, hot", [(1, 256), (2, 256), (1, 3), (2, 3)])
+def test_line_links_equal_brute_force(spark, edits, hot):
     rnd = random.Random(edits)
     texts = {"".join(rnd.choice("ab") for _ in range(rnd.randrange(5, 9))) for _ in range(60)}
+    if hot < 256:  # lines that share a long beginning, end or middle
+        one = ["2024-01-01 node ", "", " is down since noon"]
+        texts = {one[k % 3] + one[2] * (k % 2) + f"{rnd.randrange(40):b}" + one[2 - k % 3] for k in range(90)}
     rows = list(enumerate(sorted(texts)))
-    got = {tuple(sorted(r)) for r in lines.line_links(spark.createDataFrame(rows, "id bigint, line string"), edits).collect()}
+    df = spark.createDataFrame(rows, "id bigint, line string")
+    got = {tuple(sorted(r)) for r in lines.line_links(df, edits, hot).collect()}
 
     def distance(a, b):
         row = list(range(len(b) + 1))
