@@ -59,7 +59,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express learned languages and token ids; tests compare with brute force.
+#: SQL can't express learned languages and token ids; tests check every stage on planted cases.
 ORACLE_SQL = None
 
 
