@@ -338,29 +338,37 @@ def _placed(lists: DataFrame, found: DataFrame) -> DataFrame:
 
 def _differences(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """What sets a member's kept n-grams apart from its pivot's: those it has more, then
-    those it lacks, in an order that is the same for all; ``off`` bounds what it must share.
+    those it lacks, in an order that is the same for all; ``off`` bounds what it must share,
+    and ``step`` is its class: a thirty-second of the pivot's size, so classes are few.
     """
     own = nodes.select("node", "grams", "counts")
     other = nodes.select(F.col("node").alias("pivot"), F.col("grams").alias("pivot_grams"))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            off, parts = [], []
+            off, step, parts = [], [], []
             for n, g, c, p in zip(*(batch.column(x).to_pylist() for x in ("size", "grams", "counts", "pivot_grams"))):
                 grams, counts, pivot = np.frombuffer(g, np.uint64), np.frombuffer(c, "<u2"), np.frombuffer(p, np.uint64)
                 more = ~np.isin(grams, pivot, assume_unique=True)
                 extra = grams[more][np.lexsort((grams[more], counts[more]))]
                 lacks = pivot[~np.isin(pivot, grams, assume_unique=True)]
                 off.append(3 * n / 7 - len(pivot) / 2 + len(lacks))
+                step.append(int(off[-1] // max(len(pivot) / 32, 1)))
                 parts.append(np.r_[mixed(extra + np.uint64(1)), mixed(lacks)].view(np.int64))
             lists = pa.ListArray.from_arrays(
                 pa.array(np.r_[0, np.cumsum([len(x) for x in parts])], pa.int32()), pa.array(np.concatenate(parts)))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in ("pivot", "node", "size", "component")), pa.array(off), lists],
-                names=["pivot", "node", "size", "component", "off", "apart"])
+                [*(batch.column(x) for x in ("pivot", "node", "size", "component")),
+                 pa.array(off, pa.float64()), pa.array(step, pa.int32()), lists],
+                names=["pivot", "node", "size", "component", "off", "step", "apart"])
 
     return members.join(own, "node").join(other, "pivot").mapInArrow(
-        differ, "pivot binary, node binary, size bigint, component binary, off double, apart array<bigint>")
+        differ, "pivot binary, node binary, size bigint, component binary, off double, step int, apart array<bigint>")
+
+
+def _needed(off):
+    """Elements that differences must share, from the sum of both sides' ``off``."""
+    return F.greatest(F.ceil(off - 1e-9), F.lit(1)).cast("int")
 
 
 def _by_differences(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -370,29 +378,43 @@ def _by_differences(members: DataFrame, nodes: DataFrame, found: DataFrame) -> D
     and, beyond that, as many n-grams as their differences from P have in common. So two
     members link only if their differences share off(x) + off(y) elements or more, rounded
     up. Of a pair that is apart one at least isn't linked to the pivot, which makes that
-    number large, and the differences' prefixes that must meet short. A pair that needs
-    nothing in common is linked to the member with the least ``off``, as is its partner.
+    number large. Members are put into classes by ``off``; two classes meet only where
+    differences are long enough for what their members must share, and then by the prefixes
+    that must meet, each as short as that pair of classes allows. A pair that needs nothing
+    in common is linked to the member with the least ``off``, as is its partner.
     """
     linked = found.where("linked")
     to_pivot = linked.select(F.col("a").alias("node"), F.col("b").alias("pivot")).unionByName(
         linked.select(F.col("b").alias("node"), F.col("a").alias("pivot"))).withColumn("near", F.lit(True))
     apart = stored(_differences(members, nodes).join(to_pivot, ["node", "pivot"], "left"), "apart")
-    ends = apart.groupBy("pivot").agg(
-        F.min(F.struct("off", "node")).alias("least"), F.min(F.when(F.col("near").isNull(), F.col("off"))).alias("least_far"))
-    marked = apart.join(ends, "pivot")
-    first = F.when(F.col("near").isNull(), F.col("least.off")).otherwise(F.col("least_far"))
-    need = F.greatest(F.ceil(F.col("off") + first - 1e-9), F.lit(1))
-    prefix = F.greatest(F.size("apart") - need + 1, F.lit(0)).cast("int")
-    entries = marked.where("near is null or least_far is not null").select(
-        "pivot", "node", "size", "component", "near", F.explode(F.slice("apart", 1, prefix)).alias("part"))
-    x = entries.where("near is null").toDF(*[f"{c}_x" for c in entries.columns])
-    y = entries.toDF(*[f"{c}_y" for c in entries.columns])
-    met = x.join(
-        y, (F.col("pivot_x") == F.col("pivot_y")) & (F.col("part_x") == F.col("part_y"))
-        & (F.col("component_x") != F.col("component_y")) & _fits("size_x", "size_y")
+    # at most a few dozen classes of a pivot
+    classes = apart.groupBy("pivot", "step").agg(
+        F.min("off").alias("low"), F.max(F.size("apart")).alias("long"), F.max(F.col("near").isNull()).alias("far"))
+    far = classes.where("far").select("pivot", F.col("step").alias("step_x"), F.col("low").alias("low_x"), F.col("long").alias("long_x"))
+    other = classes.select("pivot", F.col("step").alias("step_y"), F.col("low").alias("low_y"), F.col("long").alias("long_y"))
+    meet = far.join(other, "pivot").withColumn("need", _needed(F.col("low_x") + F.col("low_y")))
+    meet = stored(meet.where("need <= long_x and need <= long_y").select("pivot", "step_x", "step_y", "need"), "classes")
+
+    def entered(side: str, rows: DataFrame) -> DataFrame:
+        rows = rows.withColumnRenamed("step", f"step_{side}").join(meet, ["pivot", f"step_{side}"])
+        rows = rows.withColumn("long", F.size("apart")).where("need <= long")
+        prefix = F.slice("apart", 1, F.col("long") - F.col("need") + 1)
+        own = ["node", "size", "component", "near", "off", "long"]
+        return rows.select(
+            "pivot", "step_x", "step_y", *(F.col(c).alias(f"{c}_{side}") for c in own),
+            F.posexplode(prefix).alias(f"at_{side}", "part"))
+
+    # the first element in common has all others behind it, on both sides
+    behind = F.least(F.col("long_x") - F.col("at_x"), F.col("long_y") - F.col("at_y"))
+    met = entered("x", apart.where("near is null")).join(entered("y", apart), ["pivot", "step_x", "step_y", "part"])
+    met = met.where(
+        (F.col("component_x") != F.col("component_y")) & _fits("size_x", "size_y")
+        & (behind >= _needed(F.col("off_x") + F.col("off_y")))
         & (F.col("near_y").isNotNull() | (F.col("node_x") < F.col("node_y"))))
     met = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
-    free = marked.where((F.col("off") + F.col("least.off") <= 1e-9) & (F.col("node") != F.col("least.node")))
+    least = apart.groupBy("pivot").agg(F.min(F.struct("off", "node")).alias("least"))
+    free = apart.join(least, "pivot").where(
+        (F.col("off") + F.col("least.off") <= 1e-9) & (F.col("node") != F.col("least.node")))
     free = free.select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"))
     return met.unionByName(free).distinct()
 

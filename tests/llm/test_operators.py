@@ -185,6 +185,28 @@ def test_jaccard_components_equal_brute_force(spark, odd):
     assert jaccard.one_of_each(odd).count() == 6
 
 
+def test_jaccard_of_one_hot_group_with_members_apart(spark):
+    rnd = random.Random(8)
+    base = words(rnd, 110, 5000).split()
+    texts = [base]
+    for k in range(260):  # copies of the base, and of copies, beyond the threshold as well
+        copy = list(base if k % 3 else rnd.choice(texts))
+        for _ in range(rnd.randrange(1, 9)):
+            copy[rnd.randrange(len(copy))] = f"n{rnd.randrange(6)}"
+        texts.append(copy[: rnd.choice([110, 110, 104])] + ["more"] * rnd.choice([0, 0, 3]))
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 100 * len(x & sets[j]) >= 75 * len(x | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 20 < len(set(root)) < 200
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_repeated_strings_equal_brute_force(spark, odd):
     rnd = random.Random(5)
     base = "".join(rnd.choice("abcdefgh ") for _ in range(900))
