@@ -26,8 +26,14 @@ def write_url_batch(urls: DataFrame, root: str, dataset_name: str, batch: int,
 
 
 def write_batches(batched: DataFrame, path: str, by: list[str]) -> None:
-    """Store batch lists, one partition per group and batch, so that one batch reads alone."""
-    batched.write.mode("overwrite").partitionBy(*by, "batch").parquet(path)
+    """Store batch lists, one partition per group and batch, so that one batch reads alone.
+
+    Rows of a batch meet before they are written, so there is about one file for each batch
+    however many tasks there are; adaptive execution splits a batch that is too large for one
+    task, such as that of the files of unknown size.
+    """
+    met = batched.hint("rebalance", *by, "batch")
+    met.write.mode("overwrite").partitionBy(*by, "batch").parquet(path)
 
 
 def compact(spark: SparkSession, source: str, target: str, files: int,

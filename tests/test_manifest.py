@@ -3,6 +3,7 @@ import random
 import pytest
 from corpusprov.operators import manifest as man
 from corpusprov.operators.ordering import number_rows, top_n_per_group
+from corpusprov.sources import write_batches
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -129,3 +130,13 @@ def test_files_of_each_rule(spark):
         "output string, prefixes array<string>, suffix string, excludes array<string>")
     got = {r.output: (r.n_files, r.bytes) for r in man.files_by_rule(files, rules).collect()}
     assert got == {"lines": (3, 3), "packed": (5, 15), "none": (0, 0)}
+
+
+def test_a_batch_is_one_file_however_many_tasks_write(spark, tmp_path):
+    path = str(tmp_path / "batches")
+    batched = spark.range(400).repartition(8).selectExpr(
+        "if(id % 7 = 0, null, concat('d', id % 2)) dataset_name", "concat('p', id) path", "id size", "int(id % 5) batch")
+    write_batches(batched, path, ["dataset_name"])
+    back = spark.read.schema(batched.schema).parquet(path)
+    assert sorted(back.select(*batched.columns).collect(), key=repr) == sorted(batched.collect(), key=repr)
+    assert len(back.inputFiles()) == back.select("dataset_name", "batch").distinct().count() == 15
