@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import struct
 from functools import lru_cache
 from itertools import chain
 
@@ -48,6 +49,14 @@ def piece_offsets(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def binaries(column: pa.Array) -> list[bytes]:
+    """The values of a whole array of large binaries without nulls."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[: len(column) + 1].tolist()
+    flat = data.to_pybytes() if data else b""
+    return [flat[a:b] for a, b in zip(at, at[1:])]
+
+
 class Encoder(dict):
     """Ids of pieces as bytes of little-endian 32-bit numbers, kept from text to text."""
 
@@ -72,8 +81,8 @@ class Encoder(dict):
         words = [p for p in new if p[:1] == b" " and p[1:].decode().isalpha()]
         for plain in (True, False):
             some = [p for p in words if p.isascii() == plain]
-            for i in range(0, len(some), 4096):
-                self._learn(some[i : i + 4096], plain)
+            for i in range(0, len(some), 1024):
+                self._learn(some[i : i + 1024], plain)
 
     def _learn(self, part: list[bytes], plain: bool) -> None:
         texts = [p.decode() for p in part]
@@ -102,7 +111,7 @@ class Encoder(dict):
 
     def __missing__(self, piece: bytes) -> bytes:
         encoded = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-        ids = np.array(encoded, "<u4").tobytes()
+        ids = struct.pack(f"<{len(encoded)}I", *encoded)
         if len(piece) <= KEPT_BYTES:
             self[piece] = ids
         return ids
@@ -128,9 +137,13 @@ class Encoder(dict):
             pa.large_binary(), len(offsets) - 1,
             [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)],
         ).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        self.learn(distinct)
-        known = list(map(self.__getitem__, distinct))
+        distinct = binaries(pieces.dictionary)
+        known = list(map(self.get, distinct))
+        new = [k for k, ids in enumerate(known) if ids is None]
+        if new:
+            self.learn([distinct[k] for k in new])
+            for k in new:
+                known[k] = self[distinct[k]]
         length = np.fromiter(map(len, known), np.int64, len(known)) // 4
         start = np.cumsum(length) - length
         which = pieces.indices.to_numpy()

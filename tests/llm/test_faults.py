@@ -1,9 +1,11 @@
 """Results that must not depend on the cluster's settings or on the number of languages."""
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from corpusprov.llm import language, topk
+from corpusprov.llm import language, tokens, topk
 
 
 @pytest.mark.parametrize("parts", [1, 2, 200])
@@ -28,3 +30,19 @@ def test_viterbi_with_many_languages():
     scores = np.full((4, 200), -5.0, np.float32)
     scores[:2, 150] = scores[2:, 199] = 0
     assert language.viterbi(scores, np.array([0, 2, 4]), 1.0).tolist() == [150, 150, 199, 199]
+
+
+def test_pieces_that_are_known_are_not_looked_at_again(monkeypatch):
+    encoder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = pa.array(["some words, and 12 more.", "some words", None, "", "caf\u00e9 words.\nEnd " + "x" * 99])
+    ids, at = encoder.ids(texts)
+    asked, learn = [], encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda pieces: (asked.extend(pieces), learn(pieces)))
+    for _ in range(2):
+        again, where = encoder.ids(texts)
+        assert again.tolist() == ids.tolist() and where.tolist() == at.tolist()
+    assert len(asked) <= 2 and all(len(p) > tokens.KEPT_BYTES for p in asked)  # those aren't kept
+    # the same where pieces are forgotten in between
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 2)
+    encoder.clear()
+    assert encoder.ids(texts)[0].tolist() == ids.tolist()
