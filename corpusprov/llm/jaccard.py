@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from corpusprov.llm.arrays import Substrings, lower_ascii, mixed, runs, slices, text_bytes
 from corpusprov.llm.components import components
 from corpusprov.llm.folders import fresh, stored
+from corpusprov.llm.tokens import give_back
 
 #: n-grams and nodes of one flush at most (unless one text has more), and the number of
 #: nodes in a flush that makes an n-gram common.
@@ -76,6 +77,7 @@ def set_digest(hashes: np.ndarray) -> bytes:
 def document_sets(docs: DataFrame, n: int = 5) -> DataFrame:
     """doc_id, n_shingles and node (digest of the set; null for an empty set)."""
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for part in slices(batch):
                 h, at = shingle_sets(part.column("text"), n)
@@ -159,6 +161,7 @@ def _sent(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                         number += 1
         if held:
             yield flush()
+        give_back()  # the next stage needs much in the same worker
 
     return docs.select("text").withColumn("task", F.spark_partition_id()).mapInArrow(send, SENT_DDL)
 
@@ -177,6 +180,7 @@ def _counted(sent: DataFrame, buckets: int) -> DataFrame:
             low = [_of_six(r["grams"]) for r in told]
             src = np.repeat(np.arange(len(told), dtype=np.int32), [len(x) for x in low])
             h = np.concatenate(low)
+            del low
             owner = np.concatenate([np.frombuffer(r["owners"], np.uint16) for r in told])
             weight = np.array([1 if r["kind"] == COUNT else COMMON for r in told], np.int64)
             order = np.argsort(h, kind="stable")
@@ -297,6 +301,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     right = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("grams").alias("grams_b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             x, y = batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()
             common = np.zeros(batch.num_rows, np.int64)
@@ -345,6 +350,7 @@ def _differences(members: DataFrame, nodes: DataFrame) -> DataFrame:
     other = nodes.select(F.col("node").alias("pivot"), F.col("grams").alias("pivot_grams"))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             off, step, parts = [], [], []
             for n, g, c, p in zip(*(batch.column(x).to_pylist() for x in ("size", "grams", "counts", "pivot_grams"))):

@@ -85,6 +85,7 @@ def _counted(docs: DataFrame, langs: list[str]) -> DataFrame:
     index = {name: k for k, name in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         kinds = {"gram": GRAMS, "word": WORDS, "script": len(_NAMES)}
         out = {k: np.zeros((len(langs), n), np.float32) for k, n in kinds.items()}
         for batch in batches:
@@ -101,6 +102,18 @@ def _counted(docs: DataFrame, langs: list[str]) -> DataFrame:
     return docs.mapInArrow(count, "lang int, gram binary, word binary, script binary")
 
 
+def _added(counts: DataFrame) -> DataFrame:
+    """Counts of all tasks, one row per language: a driver gets no more than the model."""
+    def add(key, table):
+        rows = table.to_pylist()
+        sums = [sum(np.frombuffer(r[k], np.float32).astype(np.float64) for r in rows) for k in ("gram", "word", "script")]
+        return pa.Table.from_arrays(
+            [pa.array([key[0].as_py()], pa.int32())] + [pa.array([s.astype(np.float32).tobytes()], pa.binary()) for s in sums],
+            names=["lang", "gram", "word", "script"])
+
+    return counts.groupBy("lang").applyInArrow(add, "lang int, gram binary, word binary, script binary")
+
+
 class Model:
     def __init__(self, langs: list[str], gram: np.ndarray, word: np.ndarray, script: np.ndarray):
         def logs(c, smooth):
@@ -124,12 +137,10 @@ def learn(labelled: DataFrame, per_lang: int = 3000, tasks: int = 16) -> Model |
     langs = sorted(sizes)
     every = F.create_map(*[F.lit(v) for k in langs for v in (k, -(-sizes[k] // per_lang))])
     sample = labelled.where(F.pmod(F.xxhash64("text"), every[F.col("lang")]) == 0)
-    rows = _counted(sample.coalesce(tasks), langs).collect()  # ``tasks`` rows a language
-    parts = []
-    for k in ("gram", "word", "script"):
-        total = [sum(np.frombuffer(r[k], np.float32) for r in rows if r["lang"] == i) for i in range(len(langs))]
-        parts.append(np.array(total, np.float64))
-    return Model(langs, *parts)
+    rows = _added(_counted(sample.coalesce(tasks), langs)).collect()  # a row of 1.5 MB a language
+    rows.sort(key=lambda r: r["lang"])
+    return Model(langs, *(
+        np.array([np.frombuffer(r[k], np.float32) for r in rows], np.float64) for k in ("gram", "word", "script")))
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
@@ -227,6 +238,7 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 12.0, spans:
             batch = pa.RecordBatch.from_arrays([column], ["_text"])
             parts = [found(part, sent.value) for part in slices(batch, "_text", VITERBI_BYTES)]
             yield pa.concat_arrays(parts or [found(batch, None)])
+        give_back()  # an idle worker keeps what it holds for a minute
 
     schema = "lang_pred string, score double" + ", spans array<struct<start:bigint,end:bigint,lang:string>>" * spans
     # only the text goes to Python; not deterministic, so that a filter on the result doesn't work it out twice

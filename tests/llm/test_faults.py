@@ -32,6 +32,24 @@ def test_viterbi_with_many_languages():
     assert language.viterbi(scores, np.array([0, 2, 4]), 1.0).tolist() == [150, 150, 199, 199]
 
 
+def test_a_driver_gets_one_row_of_counts_for_each_language(spark, monkeypatch):
+    rows = [(i, "the house and the garden" if i % 3 else "das haus und der garten", "en" if i % 3 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(12)
+    collected, collect = [], type(docs).collect
+
+    def counted(df):
+        got = collect(df)
+        collected.append(sum(len(v) for r in got for v in r if isinstance(v, (bytes, bytearray))))
+        return got
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    model = language.learn(docs)
+    assert 0 < sum(collected) <= 2 * 4 * (language.GRAMS + language.WORDS + len(language._NAMES))
+    alone = language.learn(docs.coalesce(1))
+    for k in ("langs", "gram", "word", "allowed"):
+        assert np.array_equal(getattr(model, k), getattr(alone, k))
+
+
 def test_pieces_that_are_known_are_not_looked_at_again(monkeypatch):
     encoder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     texts = pa.array(["some words, and 12 more.", "some words", None, "", "caf\u00e9 words.\nEnd " + "x" * 99])
